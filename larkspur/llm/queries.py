@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import sharding, substring_dedup
+from larkspur.llm import embedding_dedup, jaccard_join, sharding, substring_dedup, token_files
 from larkspur.llm.common import table
 
 
@@ -18,6 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": _on("documents", sharding.op1),
         "op2_substring_dedup": _on("documents", substring_dedup.op2),
+        "op3_jaccard_join": _on("documents", jaccard_join.op3),
+        "op4_token_files": _on("documents", token_files.op4),
+        "op9_embedding_dedup": _on("embeddings", embedding_dedup.op9),
     }
 
 
