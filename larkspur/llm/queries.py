@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import embedding_dedup, jaccard_join, sharding, substring_dedup, token_files
+from larkspur.llm import embedding_dedup, jaccard_join, pii, sharding, substring_dedup, token_files, warc_zip
 from larkspur.llm.common import table
 
 
@@ -20,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": _on("documents", substring_dedup.op2),
         "op3_jaccard_join": _on("documents", jaccard_join.op3),
         "op4_token_files": _on("documents", token_files.op4),
+        "op5_pii": _on("documents", pii.op5),
         "op9_embedding_dedup": _on("embeddings", embedding_dedup.op9),
+        "op10_warc_zip": _on("pages", warc_zip.op10),
     }
 
 
