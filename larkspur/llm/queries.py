@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import embedding_dedup, jaccard_join, pii, sharding, substring_dedup, token_files, warc_zip
+from larkspur.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, sharding, substring_dedup, token_files, toxicity, warc_zip
 from larkspur.llm.common import table
 
 
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": _on("documents", jaccard_join.op3),
         "op4_token_files": _on("documents", token_files.op4),
         "op5_pii": _on("documents", pii.op5),
+        "op6_decontamination": lambda spark, sf_dir: decontamination.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op7_toxicity": lambda spark, sf_dir: toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op8_packing": _on("documents", packing.op8),
         "op9_embedding_dedup": _on("embeddings", embedding_dedup.op9),
         "op10_warc_zip": _on("pages", warc_zip.op10),
     }
