@@ -1,0 +1 @@
+"""Empty by design: the query surface this engine covers has no streams."""
