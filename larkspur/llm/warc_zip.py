@@ -186,15 +186,15 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0,
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest")).filter("page_id is not null")
     part = F.pmod(F.xxhash64("page_id"), F.lit(n_parts)).cast("int").alias("part")
-    ids = rows.filter(F.octet_length("html") >= least).select("page_id", "digest")
-    again = ids.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "last")
+    ids = rows.filter(F.octet_length("html") >= least).select(F.col("page_id").alias("page"), F.col("digest").alias("sha1"), part)
+    again = ids.groupBy("sha1").agg(F.max("page").alias("last"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha1").alias("same"), "last")
     # Only ids and digests meet by digest; payloads are shuffled once, to their package.
-    revisits = ids.join(again, F.col("digest") == F.col("d")).filter("page_id < last").select(part, "page_id", "digest", F.col("last").alias("refers_to")).distinct()
+    revisits = ids.join(again, F.col("sha1") == F.col("same")).filter("page < last").select(F.col("part").alias("at"), "page", "sha1", "last").distinct()
 
     def write(key: tuple[pa.Scalar, ...], t: pa.Table, revisits: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "path": pa.array([], pa.string()), "records": pa.array([], pa.int64())})
-        refers = {(p, d): r for p, d, r in zip(*(revisits.column(n).to_pylist() for n in ("page_id", "digest", "refers_to")), strict=True)}
+        refers = {(p, d): r for p, d, r in zip(*(revisits.column(n).to_pylist() for n in ("page", "sha1", "last")), strict=True)}
         t = t.sort_by([("page_id", "ascending"), ("url", "ascending"), ("digest", "ascending")])
         cols = (t.column(n) for n in ("page_id", "url", "digest", "html"))
         records = [(p.as_py(), record(p.as_py(), u.as_py(), base32_sha1(d.as_py()), h.as_py().encode(), refers.get((p.as_py(), d.as_py())))) for p, u, d, h in zip(*cols, strict=True)]
@@ -203,7 +203,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0,
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "path": pa.array([path]), "records": pa.array([len(records)], pa.int64())})
 
     payloads = rows.select(part, "page_id", "url", "digest", "html").repartition(n_parts, "part")
-    written = payloads.groupBy("part").cogroup(revisits.repartition(n_parts, "part").groupBy("part")).applyInArrow(write, "part int, path string, records long")
+    written = payloads.groupBy("part").cogroup(revisits.repartition(n_parts, "at").groupBy("at")).applyInArrow(write, "part int, path string, records long")
     return materialize(written, "packages")[0]
 
 
