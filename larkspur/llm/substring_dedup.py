@@ -139,7 +139,7 @@ def _covered(block: _Block, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 12 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 5 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
     spans lists the removed runs as start, end, start, end ... in bytes. length: 32 to 79. Texts
