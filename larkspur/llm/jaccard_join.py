@@ -134,8 +134,19 @@ def _edge_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: two of a pair's shingles agree by chance about once in 10**9 pairs."""
+    return np.ascontiguousarray((s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
 def _unpacked(t: pa.Table, name: str = "shingles") -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype=U) for x in t.column(name)]
+    out = []
+    for x in t.column(name):
+        raw = np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), dtype=np.uint8)
+        wide[:, :6] = raw
+        out.append(wide.view(U).ravel())
+    return out
 
 
 def _local_links(num: int, den: int):
@@ -150,10 +161,9 @@ def _local_links(num: int, den: int):
     return link
 
 
-def _large(rows: DataFrame, num: int, den: int, local: int, shuffle: int, done: list[DataFrame], trash: list[str]) -> DataFrame:
+def _large(rows: DataFrame, num: int, den: int, local: int, done: list[DataFrame], trash: list[str]) -> DataFrame:
     """Links to pivots of clusters over `local`, added to done; returns what is small enough for a local join."""
-    spark, ready = rows.sparkSession, []
-    edges: list[DataFrame] = done
+    ready: list[DataFrame] = []
     cur, limit = rows.withColumn("main", F.lit(None).cast("long")), 1 - num / den
     for step in range(ROUNDS + 1):
         sizes = cur.groupBy("cluster").agg(F.count("*").alias("members"))
@@ -197,7 +207,7 @@ def _large(rows: DataFrame, num: int, den: int, local: int, shuffle: int, done:
         told = chunk.select("cluster", "part", "rep", "shingles", "main").groupBy("cluster", "part").cogroup(pivots.groupBy("cluster", "part")).applyInArrow(measure, "kind string, cluster long, rep long, b long, mask long, used boolean, far array<double>, shingles binary, main long")
         told, path = materialize(told, "pivots")
         trash.append(path)
-        edges.append(told.filter("kind = 'e'").select(F.col("rep").alias("a"), "b"))
+        done.append(told.filter("kind = 'e'").select(F.col("rep").alias("a"), "b"))
         member = told.filter("kind = 'm'")
         masks = member.groupBy("cluster", F.col("main").isNotNull().alias("old"), "mask").agg(F.count("*").alias("n"))
 
@@ -299,7 +309,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             "rep": pa.array([b.reps[x[2]] if x[2] >= 0 else None for x in b.docs] + [None] * e + [b.reps[i] for i in held], pa.int64()),
             "comp": pa.array([None] * d + [x[1] for x in edge] + [comp[i] for i in held], pa.int64()),
             "pivot": pa.array([None] * d + [x[0] for x in edge] + [None] * s, pa.int64()),
-            "shingles": pa.array([None] * (d + e) + [b.sets[i].tobytes() for i in held], pa.binary()),
+            "shingles": pa.array([None] * (d + e) + [_packed(b.sets[i]) for i in held], pa.binary()),
         })
 
     asked = texts.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary").repartition(1 << bits, "bucket")
@@ -311,10 +321,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     edge = dealt.filter("kind = 'e'").select("pivot", "comp")
     low = edge.groupBy("pivot").agg(F.min("comp").alias("b"), F.max("comp").alias("top")).filter("b < top").select("pivot", "b")
     cluster = connected_components(edge.join(low, "pivot").select(F.col("comp").alias("a"), "b"))
-    sets = dealt.filter("kind = 's'").select("rep", "comp", "shingles").join(cluster, F.col("comp") == F.col("node"), "left")
-    sets = sets.select(F.coalesce("component", "comp").alias("cluster"), "rep", "shingles")
+    # Clusters and their sizes from ids alone; sets then move twice, by document and by cluster.
+    ids = dealt.filter("kind = 's'").select("rep", "comp").join(cluster, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("cluster"))
+    sizes = ids.groupBy("cluster").agg(F.count("*").alias("members")).filter("members > 1").select(F.col("cluster").alias("c"), "members")
+    where, more = materialize(ids.join(sizes, F.col("cluster") == F.col("c")).select(F.col("rep").alias("r"), "cluster", "members"), "clusters")
+    trash.append(more)
+    sets = dealt.filter("kind = 's'").select("rep", "shingles").join(where, F.col("rep") == F.col("r")).select("cluster", "rep", "shingles", "members")
     links: list[DataFrame] = []
-    small = _large(sets, num, den, local, n_blocks, links, trash)
+    small = sets.filter(F.col("members") <= local).select("cluster", "rep", "shingles", F.lit(None).cast("long").alias("main"))
+    if where.filter(F.col("members") > local).take(1):
+        small = small.unionByName(_large(sets.filter(F.col("members") > local).drop("members"), num, den, local, links, trash))
     links.append(small.groupBy("cluster").applyInArrow(_local_links(num, den), "a long, b long"))
     found, more = materialize(union_all(links), "links")
     drop(spark, *trash)
