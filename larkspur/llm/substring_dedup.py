@@ -30,7 +30,8 @@ from larkspur.llm.common import block_count, blocked, text_bytes
 
 U = np.uint64
 FIRST = 16
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+LAGS = 12
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -54,20 +55,20 @@ class _Block:
         length, self.width = self.length, self.length - FIRST + 1
         at, rank, n, edge = [], [], len(self.buf), 0
         overlap = length + self.width
-        doc_end = None
         while edge < n:
             end = min(n, edge + CHUNK + overlap)
             part = self.buf[edge:end]
             if len(part) >= length:
                 ranks = H.string_ranks(part, FIRST)
-                least = H.sliding(ranks, self.width, np.minimum)
-                pos = np.arange(edge, edge + len(least))
-                doc_end = self.ends[np.searchsorted(self.ends, pos, side="right")]
-                least = np.where(pos + length <= doc_end, least, U(0))
-                padded = np.concatenate([np.zeros(self.width - 1, U), least, np.zeros(self.width - 1, U)])
+                top = (ranks >> U(32)).astype(np.uint32) | np.uint32(1)
+                least = H.sliding(top, self.width, np.minimum)
+                # Windows that a document's end cuts don't count.
+                first, last = np.searchsorted(self.ends, [edge, edge + len(least) - 1], side="right")
+                for stop in self.ends[first : last + 1]:
+                    least[max(0, stop - length + 1 - edge) : max(0, stop - edge)] = 0
+                padded = np.concatenate([np.zeros(self.width - 1, np.uint32), least, np.zeros(self.width - 1, np.uint32)])
                 most = H.sliding(padded, self.width, np.maximum)
-                found = np.flatnonzero(most == ranks[: len(most)])
-                found = found[most[found] > 0]
+                found = np.flatnonzero(most == top[: len(most)])
                 at.append(found + edge)
                 rank.append(ranks[found])
             if end == n:
@@ -131,11 +132,13 @@ def _covered(block: _Block, masks: np.ndarray) -> np.ndarray:
         ids = block.keys[block.doc]
         later = ids > ids[block.heads][block.group]
         mask = np.where(later, U(2**64 - 1), masks[block.group])
+        starts = []
         for j in range(block.width):
-            start = block.pos - (block.width - 1) + j
             ok = ((mask >> U(j)) & U(1)).astype(bool) & (block.width - 1 - j <= block.left) & (block.length - (block.width - 1 - j) <= block.right)
-            np.add.at(edge, start[ok], 1)
-            np.add.at(edge, start[ok] + block.length, -1)
+            starts.append(block.pos[ok] - (block.width - 1) + j)
+        start = np.unique(np.concatenate(starts))
+        edge[start] += 1
+        edge[start + block.length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -192,29 +195,47 @@ def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text
         right = np.concatenate([np.frombuffer(g[3], np.uint8)[n:] for g, n in zip(got, counts, strict=True)])
         ctx = np.frombuffer(b"".join(g[4] for g in got), np.uint8).reshape(len(ranks), -1)
         masks = np.zeros(len(ranks), U)
-        order = np.argsort(ranks, kind="stable")
-        edge = 0
-        while edge < len(order):  # whole ranks, about 20,000 contexts at a time
-            end = min(len(order), edge + 20_000)
-            end = int(np.searchsorted(ranks[order], ranks[order[end - 1]], side="right"))
-            at = order[edge:end]
-            window = H.BYTE[ctx[at]]
-            have, step = 1, 0
-            while have < length:
-                offset = min(have, length - have)
-                window = H.mix(window[:, : window.shape[1] - offset] * H.ODD[2 * step] + window[:, offset:] * H.ODD[2 * step + 1])
-                have, step = have + offset, step + 1
-            for j in range(width):
-                ok = np.flatnonzero((width - 1 - j <= left[at]) & (length - (width - 1 - j) <= right[at]))
-                name = H.mix(window[ok, j] + ranks[at[ok]] * H.ODD[33])
-                o = np.lexsort((owner[at[ok]], name))
-                if not len(o):
-                    continue
-                new = np.append(True, name[o][1:] != name[o][:-1])
-                first = owner[at[ok[o]]][np.flatnonzero(new)][np.cumsum(new) - 1]
-                hit = at[ok[o]][first < owner[at[ok[o]]]]
-                masks[hit] |= U(1) << U(j)
-            edge = end
+        order = np.lexsort((owner, ranks))
+        first = np.flatnonzero(np.append(True, ranks[order][1:] != ranks[order][:-1])) if len(order) else order
+        size = np.diff(np.append(first, len(order)))
+        few, many = (size > 1) & (size <= LAGS), size > LAGS
+        place = np.arange(len(order)) - np.repeat(first, size)
+        for some, step in ((few, 40_000), (many, 20_000)):  # whole ranks, about `step` contexts at a time
+            picked = np.flatnonzero(some)
+            upto = np.cumsum(size[picked])
+            lo = 0
+            while lo < len(picked):
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, side="right")))
+                g = picked[lo:hi]
+                rows = np.repeat(first[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(size[g].sum())
+                at, nth = order[rows], place[rows]
+                window = H.BYTE[ctx[at]]
+                have, k = 1, 0
+                while have < length:
+                    offset = min(have, length - have)
+                    window = H.mix(window[:, : window.shape[1] - offset] * H.ODD[2 * k] + window[:, offset:] * H.ODD[2 * k + 1])
+                    have, k = have + offset, k + 1
+                reach = width - 1 - np.arange(width)
+                whole = (reach[None, :] <= left[at, None]) & (length - reach[None, :] <= right[at, None])
+                if some is few:
+                    own, hit = owner[at], np.zeros(window.shape, dtype=bool)
+                    for lag in range(1, LAGS):
+                        x = np.flatnonzero(nth >= lag)
+                        x = x[own[x - lag] < own[x]]
+                        hit[x] |= (window[x] == window[x - lag]) & whole[x] & whole[x - lag]
+                    masks[at] = (hit.astype(U) << np.arange(width, dtype=U)[None, :]).sum(axis=1, dtype=U)
+                else:
+                    for j in range(width):
+                        ok = np.flatnonzero(whole[:, j])
+                        name = H.mix(window[ok, j] + ranks[at[ok]] * H.ODD[33])
+                        o = np.argsort(name, kind="stable")  # owners ascend within a rank
+                        if not len(o):
+                            continue
+                        new = np.append(True, name[o][1:] != name[o][:-1])
+                        least = owner[at[ok[o]]][np.flatnonzero(new)][np.cumsum(new) - 1]
+                        later = at[ok[o]][least < owner[at[ok[o]]]]
+                        masks[later] |= U(1) << U(j)
+                lo = hi
         out, lo = [], 0
         for n in counts:
             out.append(masks[lo : lo + n].tobytes())
