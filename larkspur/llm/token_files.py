@@ -18,7 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +31,17 @@ from larkspur.llm.common import block_count, materialize, scratch, text_bytes
 
 MAGIC = b"LKT1"
 BLOCK = 4096
+GROUP = 64
+DECODED = 512
 LIMIT = 16
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BLANKS = "\t-\r \x85\xa0"
 #: The byte-level pieces of texts in Latin letters; other texts go to the tokenizer whole.
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+PIECES = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 BEYOND = re.compile("[^\x00-ɏ]")
-WORD = re.compile(f" [{LETTERS}]+")
-CACHE = 400_000
+CACHE = 600_000
+STEP = 256
 
 
 class Encoder:
@@ -56,39 +58,39 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > CACHE:
             self.known.clear()
         words, rest = [], []
-        for p in pieces:
-            (words if WORD.fullmatch(p) else rest).append(p)
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            found: list[list[int]] = [[] for _ in part]
-            for i, k in zip(e.ids, e.word_ids, strict=True):
-                found[k].append(i)
-            self.known.update(zip(part, map(tuple, found), strict=True))
+        for p in pieces:  # words after a space stay apart when they are joined
+            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        parts = [words[lo : lo + 500] for lo in range(0, len(words), 500)]
+        unit = np.dtype(self.kind).itemsize
+        for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            body = np.array(e.ids, dtype=self.kind).tobytes()
+            edge = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * unit).tolist()
+            self.known.update(zip(part, (body[a:z] for a, z in pairwise(edge)), strict=True))
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[p] = tuple(e.ids)
+            self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for lo in range(0, len(texts), 128):
-            part = texts[lo : lo + 128]
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian numbers of this encoder's kind."""
+        for lo in range(0, len(texts), STEP):
+            part = texts[lo : lo + STEP]
             plain = [self.by_piece and not BEYOND.search(t) and not any(s in t for s in self.special) for t in part]
             pieces = [PIECES.findall(t) if p else None for t, p in zip(part, plain, strict=True)]
-            every = set(chain.from_iterable(x for x in pieces if x))
-            new = every.difference(self.known)
+            found = [list(map(self.known.get, x)) if x is not None else None for x in pieces]
+            new = {p for x, f in zip(pieces, found, strict=True) if f and None in f for p, k in zip(x, f, strict=True) if k is None}
             if new:
-                self._learn(new if len(self.known) + len(new) <= CACHE else every)
-            for t, x in zip(part, pieces, strict=True):
+                self._learn(new)
+            for t, x, f in zip(part, pieces, found, strict=True):
                 if x is None:
-                    yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                    yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes()
                 else:
-                    yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, x)), dtype=np.uint32)
+                    yield b"".join(f if None not in f else [k if k is not None else self.known[p] for p, k in zip(x, f, strict=True)])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -129,47 +131,73 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, order
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(first bit of each block, the codes as bytes)."""
-    codes, _ = canonical(lengths)
+def _pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
     n = lengths[ids].astype(np.int64)
     end = np.cumsum(n)
     start = end - n
-    total = int(end[-1]) if len(ids) else 0
+    total = int(end[-1])
     words = np.zeros(total // 64 + 2, dtype=np.uint64)
     at, room = start >> 6, 64 - (start & 63)
     code = codes[ids]
-    if len(ids):
-        head = np.where(n <= room, code << np.maximum(room - n, 0).astype(np.uint64), code >> np.maximum(n - room, 0).astype(np.uint64))
-        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        words[at[new]] |= np.bitwise_or.reduceat(head, new)
-        over = np.flatnonzero(n > room)
-        words[at[over] + 1] |= code[over] << (64 - (n - room)[over]).astype(np.uint64)
+    head = np.where(n <= room, code << np.maximum(room - n, 0).astype(np.uint64), code >> np.maximum(n - room, 0).astype(np.uint64))
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    words[at[new]] |= np.bitwise_or.reduceat(head, new)
+    over = np.flatnonzero(n > room)
+    words[at[over] + 1] |= code[over] << (64 - (n - room)[over]).astype(np.uint64)
     return start[::BLOCK].astype(np.uint64), words.astype(">u8").tobytes()[: (total + 7) // 8]
 
 
-def unpack(payload: bytes, lengths: np.ndarray, offsets: np.ndarray, n: int, blocks: Iterable[int] | None = None) -> np.ndarray:
-    """The ids of the blocks (all, or those asked for), all blocks a step at a time."""
-    top = int(lengths.max(initial=1))
-    _, order = canonical(lengths)
-    symbol = np.repeat(order, 1 << (top - lengths[order]).astype(np.int64))
-    symbol = np.concatenate([symbol, np.full((1 << top) - len(symbol), order[0] if len(order) else 0)]).astype(np.uint32)
-    width = lengths[symbol].astype(np.int64) if len(lengths) else np.zeros(len(symbol), np.int64)
-    raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
-    wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    which = np.arange(len(offsets)) if blocks is None else np.array(list(blocks), dtype=np.int64)
-    size = np.minimum(BLOCK, n - which * BLOCK)
-    bit = offsets[which].astype(np.int64)
-    out = np.zeros((len(which), BLOCK), dtype=np.uint32)
-    for i in range(int(size.max(initial=0))):
-        if len(bit) and i == size.min() and (size <= i).any():  # a last, shorter block
-            bit = np.where(size <= i, 0, bit)
-        code = (wide[bit >> 3] >> (32 - top - (bit & 7)).astype(np.uint32)) & np.uint32((1 << top) - 1)
-        out[:, i] = symbol[code]
-        bit = bit + width[code]
-        if i + 1 >= size.min(initial=BLOCK):
-            bit = np.where(size <= i + 1, 0, bit)
-    return np.concatenate([out[k, : size[k]] for k in range(len(which))]) if len(which) else np.zeros(0, np.uint32)
+def pack(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(first bit of each block, the codes as bytes); every GROUP blocks start at a byte."""
+    codes, _ = canonical(lengths)
+    offsets, out, size = [np.zeros(0, np.uint64)], [], 0
+    for lo in range(0, len(ids), GROUP * BLOCK):
+        first, body = _pack(ids[lo : lo + GROUP * BLOCK], lengths, codes)
+        offsets.append(first + np.uint64(8 * size))
+        out.append(body)
+        size += len(body)
+    return np.concatenate(offsets), b"".join(out)
+
+
+class Decoder:
+    """Tables for one code: of every string of its longest length, the id it starts with and that id's length."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.top = int(lengths.max(initial=1))
+        _, order = canonical(lengths)
+        symbol = np.repeat(order, 1 << (self.top - lengths[order]).astype(np.int64))
+        self.symbol = np.concatenate([symbol, np.full((1 << self.top) - len(symbol), order[0] if len(order) else 0)]).astype(np.uint32)
+        self.width = lengths[self.symbol].astype(np.int64) if len(lengths) else np.zeros(len(self.symbol), np.int64)
+
+    def blocks(self, payload: bytes, offsets: np.ndarray, n: int, which: Iterable[int]) -> np.ndarray:
+        """The ids of some blocks in ascending order, all a step at a time; n: ids in all."""
+        which = np.array(list(which), dtype=np.int64)
+        if not len(which):
+            return np.zeros(0, np.uint32)
+        size = np.minimum(BLOCK, n - which * BLOCK)
+        bit = offsets[which].astype(np.int64)
+        lo = int(bit[0]) >> 3
+        hi = int(offsets[which[-1] + 1] + np.uint64(7)) >> 3 if which[-1] + 1 < len(offsets) else len(payload)
+        raw = np.frombuffer(payload[lo:hi] + bytes(8), dtype=np.uint8).astype(np.uint32)
+        wide = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+        bit -= 8 * lo
+        out = np.zeros((BLOCK, len(which)), dtype=np.uint32)
+        mask = np.uint32((1 << self.top) - 1)
+        for i in range(int(size.max())):
+            code = (wide[bit >> 3] >> (32 - self.top - (bit & 7)).astype(np.uint32)) & mask
+            out[i] = self.symbol[code]
+            bit += self.width[code]
+            if i + 1 >= size[-1]:  # the last block may be short
+                bit[-1] = 0
+        flat = out.T.ravel()
+        return flat[: (len(which) - 1) * BLOCK + size[-1]] if (size[:-1] == BLOCK).all() else np.concatenate([out[:z, k] for k, z in enumerate(size)])
+
+
+def unpack(payload: bytes, lengths: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """All ids, DECODED blocks at a time."""
+    d = Decoder(lengths)
+    for lo in range(0, len(offsets), DECODED):
+        yield d.blocks(payload, offsets, n, range(lo, min(len(offsets), lo + DECODED)))
 
 
 def to_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -192,7 +220,7 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         arrays.append(zlib.decompress(data[at : at + n]))
         at += n
     lengths, docs, null, counts, offsets = (np.frombuffer(a, k) for a, k in zip(arrays, ("u1", "<i8", "u1", "<u4", "<u8"), strict=True))
-    ids = unpack(data[at:], lengths, offsets, head["ids"])
+    ids = np.concatenate([np.zeros(0, np.uint32), *unpack(data[at:], lengths, offsets, head["ids"])])
     return [None if z else int(d) for d, z in zip(docs, null, strict=True)], counts, ids
 
 
@@ -212,10 +240,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
     def tokenize(batches):
         encoder = Encoder(tokenizer)
-        kind = np.uint16 if encoder.size <= 1 << 16 else np.uint32
-        for b in batches:
-            body = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in encoder.encode(b.column("text").to_pylist())]
-            yield pa.record_batch({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array(body, pa.binary()), "wide": pa.array([kind is np.uint32] * len(body))})
+        end = np.array([end_id], dtype=encoder.kind).tobytes()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, STEP):
+                b = whole.slice(lo, STEP)
+                body = [x + end for x in encoder.encode(b.column("text").to_pylist())]
+                yield pa.record_batch({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array(body, pa.binary()), "wide": pa.array([encoder.kind is np.uint32] * len(body))})
 
     tokens = rows.mapInArrow(tokenize, "part int, doc_id long, ids binary, wide boolean").repartition(n_parts, "part")
 
@@ -280,8 +310,12 @@ def get(path: str) -> bytes:
         return f.read()
 
 
-def read_tokens(manifest: DataFrame, spread: int | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the files' documents; start counts the ids of all documents before."""
+def read_tokens(manifest: DataFrame, with_ids: bool = True, spread: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of the files' documents.
+
+    start counts the ids of all documents before; the CRC is of the ids as little-endian 32-bit
+    numbers. Without ids, these stay in the task that decodes them.
+    """
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -290,24 +324,22 @@ def read_tokens(manifest: DataFrame, spread: int | None = None) -> DataFrame:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
                 docs, counts, ids = from_file(get(path))
                 end = np.cumsum(counts.astype(np.int64))
+                begin = end - counts
+                flat = ids.astype("<u4")
                 for lo in range(0, len(docs), 1000):
-                    a, z = int(end[lo] - counts[lo]), int(end[min(len(docs), lo + 1000) - 1])
-                    yield pa.record_batch({"doc_id": pa.array(docs[lo : lo + 1000], pa.int64()), "start": pa.array(start + end[lo : lo + 1000] - counts[lo : lo + 1000]), "n_tokens": pa.array(counts[lo : lo + 1000].astype(np.int64)), "ids": pa.LargeListArray.from_arrays(np.append(0, end[lo : lo + 1000] - a), pa.array(ids[a:z].astype(np.int64))).cast(pa.list_(pa.int64()))})
+                    few = slice(lo, lo + 1000)
+                    cols = {"doc_id": pa.array(docs[few], pa.int64()), "start": pa.array(start + begin[few]), "n_tokens": pa.array(counts[few].astype(np.int64))}
+                    cols["ids_crc32"] = pa.array([zlib.crc32(flat[a:z].data) for a, z in zip(begin[few], end[few], strict=True)], pa.int64())
+                    if with_ids:
+                        a, z = int(begin[lo]), int(end[few][-1])
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, end[few] - a), pa.int32()), pa.array(flat[a:z].astype(np.int64)))
+                    yield pa.record_batch(cols)
 
-    return files.repartition(spread or manifest.sparkSession.sparkContext.defaultParallelism * 4, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<long>")
+    spread = spread or manifest.sparkSession.sparkContext.defaultParallelism * 4
+    return files.repartition(spread, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op4(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    manifest = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-    def digest(batches):
-        for b in batches:
-            ids = b.column("ids")
-            flat = ids.values.to_numpy().astype("<u4")
-            edge = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": b.column("n_tokens"), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return read_tokens(manifest).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), with_ids=False)
