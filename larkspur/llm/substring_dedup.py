@@ -99,9 +99,9 @@ class _Block:
         self.left = np.minimum(self.pos - self.starts[self.doc], w).astype(np.uint8)
         self.right = np.minimum(self.ends[self.doc] - self.pos, length).astype(np.uint8)
         mark = np.zeros(len(self.pos), dtype=U)
-        for lo in range(0, len(keep), 20_000):
-            c = self.context(slice(lo, lo + 20_000))
-            mark[lo : lo + 20_000] = (H.BYTE[c] * H.powers(c.shape[1])).sum(axis=1, dtype=U)
+        for lo in range(0, len(keep), 4_000):
+            c = self.context(slice(lo, lo + 4_000))
+            mark[lo : lo + 4_000] = (H.BYTE[c] * H.powers(c.shape[1])).sum(axis=1, dtype=U)
         mark = H.mix(mark + self.left.astype(U) * H.ODD[30] + self.right.astype(U) * H.ODD[31]) + self.rank * H.ODD[32]
         order = np.lexsort((self.keys[self.doc], mark, self.rank))
         self.pos, self.rank, self.doc, self.left, self.right, mark = (x[order] for x in (self.pos, self.rank, self.doc, self.left, self.right, mark))
@@ -200,7 +200,7 @@ def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text
         size = np.diff(np.append(first, len(order)))
         few, many = (size > 1) & (size <= LAGS), size > LAGS
         place = np.arange(len(order)) - np.repeat(first, size)
-        for some, step in ((few, 40_000), (many, 20_000)):  # whole ranks, about `step` contexts at a time
+        for some, step in ((few, 8_000), (many, 8_000)):  # whole ranks, about `step` contexts at a time
             picked = np.flatnonzero(some)
             upto = np.cumsum(size[picked])
             lo = 0
