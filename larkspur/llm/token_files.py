@@ -18,10 +18,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import compress, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from larkspur.llm.common import block_count, materialize, scratch, text_bytes
 MAGIC = b"LKT1"
 BLOCK = 4096
 GROUP = 64
-DECODED = 512
+DECODED = 1024
 LIMIT = 16
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -40,6 +42,7 @@ BLANKS = "\t-\r \x85\xa0"
 #: The byte-level pieces of texts in Latin letters; other texts go to the tokenizer whole.
 PIECES = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 BEYOND = re.compile("[^\x00-ɏ]")
+CUT = "\x01"
 CACHE = 600_000
 STEP = 256
 
@@ -52,11 +55,14 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.cut = Tokenizer.from_file(path)  # the same, for pieces that are cut already
+        self.cut.pre_tokenizer = Sequence([CharDelimiterSplit(CUT), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
@@ -64,17 +70,15 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > CACHE:
             self.known.clear()
-        words, rest = [], []
-        for p in pieces:  # words after a space stay apart when they are joined
-            (words if p[0] == " " and p[1:].isalpha() else rest).append(p)
-        parts = [words[lo : lo + 500] for lo in range(0, len(words), 500)]
+        whole = [p for p in pieces if CUT not in p]
+        parts = [whole[lo : lo + 500] for lo in range(0, len(whole), 500)]
         unit = np.dtype(self.kind).itemsize
-        for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, self.cut.encode_batch([CUT.join(p) for p in parts], add_special_tokens=False), strict=True):
             body = np.array(e.ids, dtype=self.kind).tobytes()
             edge = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * unit).tolist()
-            self.known.update(zip(part, (body[a:z] for a, z in pairwise(edge)), strict=True))
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype=self.kind).tobytes()
+            self.known.update(zip(part, [body[a:z] for a, z in pairwise(edge)], strict=True))
+        for p in pieces.difference(whole):
+            self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian numbers of this encoder's kind."""
@@ -83,14 +87,19 @@ class Encoder:
             plain = [self.by_piece and not BEYOND.search(t) and not any(s in t for s in self.special) for t in part]
             pieces = [PIECES.findall(t) if p else None for t, p in zip(part, plain, strict=True)]
             found = [list(map(self.known.get, x)) if x is not None else None for x in pieces]
-            new = {p for x, f in zip(pieces, found, strict=True) if f and None in f for p, k in zip(x, f, strict=True) if k is None}
+            new: set[str] = set()
+            for x, f in zip(pieces, found, strict=True):
+                if f:
+                    new.update(compress(x, map(not_, f)))
             if new:
                 self._learn(new)
             for t, x, f in zip(part, pieces, found, strict=True):
                 if x is None:
                     yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+                elif None in f:
+                    yield b"".join([k or self.known[p] for p, k in zip(x, f, strict=True)])
                 else:
-                    yield b"".join(f if None not in f else [k if k is not None else self.known[p] for p, k in zip(x, f, strict=True)])
+                    yield b"".join(f)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -137,13 +146,15 @@ def _pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.n
     start = end - n
     total = int(end[-1])
     words = np.zeros(total // 64 + 2, dtype=np.uint64)
-    at, room = start >> 6, 64 - (start & 63)
+    at = start >> 6
+    shift = 64 - (start & 63) - n  # below 0: the code goes on in the next word
     code = codes[ids]
-    head = np.where(n <= room, code << np.maximum(room - n, 0).astype(np.uint64), code >> np.maximum(n - room, 0).astype(np.uint64))
+    head = code << np.maximum(shift, 0).view(np.uint64)
+    over = np.flatnonzero(shift < 0)
+    head[over] = code[over] >> (-shift[over]).view(np.uint64)
     new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     words[at[new]] |= np.bitwise_or.reduceat(head, new)
-    over = np.flatnonzero(n > room)
-    words[at[over] + 1] |= code[over] << (64 - (n - room)[over]).astype(np.uint64)
+    words[at[over] + 1] |= code[over] << (64 + shift[over]).view(np.uint64)
     return start[::BLOCK].astype(np.uint64), words.astype(">u8").tobytes()[: (total + 7) // 8]
 
 
@@ -241,41 +252,44 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     def tokenize(batches):
         encoder = Encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
+        total, wide = np.zeros(1, dtype=np.int64), encoder.kind is np.uint32
+        names = ["part", "doc_id", "ids", "wide", "counts"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))]
         for whole in batches:
             for lo in range(0, whole.num_rows, STEP):
                 b = whole.slice(lo, STEP)
                 body = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-                yield pa.record_batch({"part": b.column("part"), "doc_id": b.column("doc_id"), "ids": pa.array(body, pa.binary()), "wide": pa.array([encoder.kind is np.uint32] * len(body))})
+                c = np.bincount(np.frombuffer(b"".join(body), encoder.kind))
+                if len(c) > len(total):
+                    total = np.append(total, np.zeros(len(c) - len(total), np.int64))
+                total[: len(c)] += c
+                cols = [b.column("part"), b.column("doc_id"), pa.array(body, pa.binary()), pa.array([wide] * len(body)), pa.nulls(len(body), kinds[4])]
+                yield pa.record_batch(cols, names)
+        used = np.flatnonzero(total)
+        if len(used):  # what this task has counted, in one row without ids
+            found = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.StructArray.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"]))
+            yield pa.record_batch([pa.array([int(total.sum()) % n_parts], kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, kinds[2]), pa.array([wide]), found.cast(kinds[4])], names)
 
-    tokens = rows.mapInArrow(tokenize, "part int, doc_id long, ids binary, wide boolean").repartition(n_parts, "part")
+    tokens = rows.mapInArrow(tokenize, "part int, doc_id long, ids binary, wide boolean, counts array<struct<id:long,n:long>>").repartition(n_parts, "part")
 
     def flat(t) -> np.ndarray:
         kind = np.uint32 if t.num_rows and t.column("wide")[0].as_py() else np.uint16
         return np.frombuffer(b"".join(x.as_py() for x in t.column("ids")), dtype=kind)
 
-    def count(batches):
-        total = np.zeros(1 << 16, dtype=np.int64)
-        for b in batches:
-            c = np.bincount(flat(b))
-            if len(c) > len(total):
-                total = np.append(total, np.zeros(len(c) - len(total), np.int64))
-            total[: len(c)] += c
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
-
     def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
         counts = np.zeros(ids.max() + 1, dtype=np.int64)
         counts[ids] = t.column("n").to_numpy()
         return pa.table({"lengths": pa.array([code_lengths(counts).tobytes()], pa.binary())})
 
-    counts = tokens.select("part", "doc_id", "ids", "wide").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
     code = counts.groupBy(F.lit(0).alias("all")).applyInArrow(build, "lengths binary")
     code = code.select("lengths", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
 
     def write(key: tuple[pa.Scalar, ...], t: pa.Table, code: pa.Table) -> pa.Table:
         names = ["part", "path", "n_docs", "n_ids"]
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        t = t.select(["doc_id", "ids", "wide"]).filter(pa.compute.is_valid(t.column("ids")))
         if not t.num_rows:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
         t = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
