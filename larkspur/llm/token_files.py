@@ -282,7 +282,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         counts[ids] = t.column("n").to_numpy()
         return pa.table({"lengths": pa.array([code_lengths(counts).tobytes()], pa.binary())})
 
-    counts = tokens.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    def counted(batches):
+        for b in batches:
+            for c in b.column("counts").drop_null():
+                yield pa.RecordBatch.from_struct_array(c.values)
+
+    # All columns are read, so that Spark reuses the exchange and tokenizes once.
+    counts = tokens.mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     code = counts.groupBy(F.lit(0).alias("all")).applyInArrow(build, "lengths binary")
     code = code.select("lengths", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
 
