@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import compress, pairwise
 from operator import not_
 
@@ -43,7 +44,7 @@ BLANKS = "\t-\r \x85\xa0"
 PIECES = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 BEYOND = re.compile("[^\x00-ɏ]")
 CUT = "\x01"
-CACHE = 600_000
+CACHE = 1_000_000
 STEP = 256
 
 
@@ -102,6 +103,12 @@ class Encoder:
                     yield b"".join(f)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: tasks that follow find the file read and the pieces known."""
+    return Encoder(path)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths (u8) of an optimal prefix code with no code over limit bits, by package-merge; 0 for what doesn't occur."""
     used = np.flatnonzero(counts)
@@ -250,7 +257,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
 
     def tokenize(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         total, wide = np.zeros(1, dtype=np.int64), encoder.kind is np.uint32
         names = ["part", "doc_id", "ids", "wide", "counts"]
