@@ -7,7 +7,8 @@ precision. The number of signs grows with the logarithm of the rows, so cells st
 number of tables is calibrated so that a pair just at the threshold passes with probability
 `recall`. A pair is counted where it first collides, so no list of pairs is made: a cell gives each
 vector's number of links, and links that connect what is connected. Equal vectors are one vector.
-A cell of more than `chunk` vectors is dealt to several tasks, each with its share of the queries.
+A cell of more than `chunk` vectors is cut into shares of about that size, and each pair of shares
+is a group of its own: a task holds two shares, however full the cell is.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
     where = ["size", "table", "cell"]
     counts = distinct.mapInArrow(deal, "size int, table int, cell long, rep long, copies long, unit binary").groupBy(*where).agg(F.count("*").alias("n")).filter(F.col("n") > chunk)
     parts = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
-    dealt = dealt.join(counts, where, "left").withColumn("share", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.join(counts, where, "left").withColumn("share", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select(*where, F.least("share", "other").alias("low"), F.greatest("share", "other").alias("high"), "share", "rep", "copies", "unit")
 
     def count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         size, table = key[0].as_py(), key[1].as_py()
@@ -110,13 +112,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
         unit, rep, copies = _matrix(t.column("unit")), t.column("rep").to_numpy(), t.column("copies").to_numpy()
         order = np.lexsort((rep, unit @ made.lines[table]))
         unit, rep, copies = unit[order], rep[order], copies[order]
-        mine = (t.column("share").to_numpy() == t.column("part").to_numpy())[order]
+        low, high = key[3].as_py(), key[4].as_py()
+        share = t.column("share").to_numpy()[order]
         cell, line = made.cells(unit), unit @ made.lines.T
         lo = np.searchsorted(line[:, table], line[:, table] - made.window)
         hi = np.searchsorted(line[:, table], line[:, table] + made.window, side="right")
         links, edges = np.zeros(len(rep), np.int64), []
         label = np.arange(len(rep))
-        queries = np.flatnonzero(mine)
+        queries = np.flatnonzero(share == low)
         for at in range(0, len(queries), 256):
             q = queries[at : at + 256]
             a, z = lo[q].min(), hi[q].max()
@@ -128,12 +131,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
                     earlier |= both
                 if i == table:
                     here = both
-            x, y = np.nonzero(here & ~earlier & (hits >= least))
+            x, y = np.nonzero(here & ~earlier & (hits >= least) & (share[a:z] == high))
             off = (q[x] != y + a)
             x, y = x[off], y[off] + a
             same = np.einsum("ij,ij->i", unit[q[x]], unit[y]) >= cosine if len(x) < 200_000 else np.concatenate([np.einsum("ij,ij->i", unit[q[x[k : k + 200_000]]], unit[y[k : k + 200_000]]) for k in range(0, len(x), 200_000)]) >= cosine
             x, y = q[x[same]], y[same]
             np.add.at(links, x, copies[y])
+            if low != high:  # in a share's group with itself, each pair comes both ways
+                np.add.at(links, y, copies[x])
             turn = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else x
             for i, js in zip(x[turn], np.split(y, turn[1:]), strict=True) if len(x) else ():
                 old, first = np.unique(label[js], return_index=True)
@@ -144,7 +149,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99,
         some = np.flatnonzero(links)
         return pa.table({"a": pa.array([int(e[0]) for e in edges] + rep[some].tolist(), pa.int64()), "b": pa.array([int(e[1]) for e in edges] + [None] * len(some), pa.int64()), "links": pa.array([None] * len(edges) + links[some].tolist(), pa.int64())})
 
-    found, _ = materialize(dealt.groupBy(*where, "part").applyInArrow(count, "a long, b long, links long"), "links")
+    found, _ = materialize(dealt.groupBy(*where, "low", "high").applyInArrow(count, "a long, b long, links long"), "links")
     degree = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("b is not null").select("a", "b"))
     full = distinct.join(degree, "rep", "left").join(component, F.col("rep") == F.col("node"), "left")
