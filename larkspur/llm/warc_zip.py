@@ -22,12 +22,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import block_count, materialize, scratch, text_bytes
+from larkspur.llm.common import block_count, drop, materialize, scratch, text_bytes
 from larkspur.llm.token_files import put
 
 ARCHIVE = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 WHEN = "2024-01-01T00:00:00Z"
+#: A digest is frequent if over one in FREQUENT of the rows that repeat have it; there are fewer such digests than that.
+FREQUENT = 10_000
 
 
 class Ranges:
@@ -173,6 +175,16 @@ def read_package(f: Ranges) -> Iterator[Record]:
         yield read_record(f.read(start + x["offset"], x["length"]))
 
 
+def _revisits(ids: DataFrame, again: DataFrame, most: float) -> DataFrame:
+    """(at, page, sha1, last) of the pages that revisit another; digests of over `most` rows are broadcast."""
+    frequent, other = F.broadcast(again.filter(F.col("n") > most)), again.filter(F.col("n") <= most)
+    same = F.col("sha1") == F.col("same")
+    found = ids.join(frequent, same)
+    if other.take(1):
+        found = found.unionByName(ids.join(F.broadcast(frequent.select("same")), same, "left_anti").join(other, same))
+    return found.filter("page < last").select(F.col("part").alias("at"), "page", "sha1", "last").distinct()
+
+
 def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", part_bytes: int = 8 << 20) -> DataFrame:
     """Write the packages to the folder and return (part, path, records) of each.
 
@@ -187,9 +199,12 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0,
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest")).filter("page_id is not null")
     part = F.pmod(F.xxhash64("page_id"), F.lit(n_parts)).cast("int").alias("part")
     ids = rows.filter(F.octet_length("html") >= least).select(F.col("page_id").alias("page"), F.col("digest").alias("sha1"), part)
-    again = ids.groupBy("sha1").agg(F.max("page").alias("last"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha1").alias("same"), "last")
-    # Only ids and digests meet by digest; payloads are shuffled once, to their package.
-    revisits = ids.join(again, F.col("sha1") == F.col("same")).filter("page < last").select(F.col("part").alias("at"), "page", "sha1", "last").distinct()
+    ids, at_ids = materialize(ids, "digests")
+    again = ids.groupBy("sha1").agg(F.max("page").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    again, at_again = materialize(again.select(F.col("sha1").alias("same"), "last", "n"), "repeats")
+    # Only ids and digests meet by digest; payloads are shuffled once, to their package. A frequent digest
+    # doesn't go to one task: those few are sent to all of them.
+    revisits = _revisits(ids, again, (again.agg(F.sum("n")).first()[0] or 0) / FREQUENT)
 
     def write(key: tuple[pa.Scalar, ...], t: pa.Table, revisits: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -204,7 +219,9 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 0,
 
     payloads = rows.select(part, "page_id", "url", "digest", "html").repartition(n_parts, "part")
     written = payloads.groupBy("part").cogroup(revisits.repartition(n_parts, "at").groupBy("at")).applyInArrow(write, "part int, path string, records long")
-    return materialize(written, "packages")[0]
+    out = materialize(written, "packages")[0]
+    drop(pages.sparkSession, at_ids, at_again)
+    return out
 
 
 def read_packages(written: DataFrame, spread: int | None = None) -> DataFrame:
