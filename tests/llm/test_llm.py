@@ -286,10 +286,13 @@ def test_vectors(spark):
     assert sum(got[i].n_links for i in ids) >= 0.98 * sum(links.values()) and all(got[i].n_links <= links[i] for i in ids)
     assert sum(got[i].component_id == u.find(i) for i in ids) >= 0.99 * len(ids) and all(got[i].kept == (got[i].component_id == i) for i in ids)
     assert got[None].n_links == 0 and not got[None].kept
+    same(embedding_dedup.near_vectors(df, chunk=8).collect(), [tuple(g) for g in got.values()])  # cells in many shares
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("frequent", [1, 3, 10_000])
+def test_warc(spark, monkeypatch, frequent):
+    monkeypatch.setattr(warc_zip, "FREQUENT", frequent)
     rows = [(1, "http://a", "x"), (2, "http://b", "x"), (3, "bad\r\nurl", None), (4, None, ""), (5, "http://é", "é日"), (6, "u", "é日"), (6, "u", "é日"), (9, "l", "z" * 300_000)]
     pages = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, part int, digest string")
     got = warc_zip.op10(pages).collect()
@@ -301,6 +304,8 @@ def test_warc(spark):
         raw, to = (h or "").encode(), last[h or ""]
         want.append((p, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to == p else "revisit", None if to == p else to))
     same(got, want)
+    if frequent != 3:
+        return
     assert warc_zip.op10(pages.limit(0)).count() == 0
     full = {r.page_id: r.html for r in warc_zip.read_packages(warc_zip.write_packages(pages, least=2)).collect()}
     assert full[9] == "z" * 300_000 and full[1] == "x" and full[2] == "x" and full[6] == "é日" and full[5] is None
