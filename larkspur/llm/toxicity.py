@@ -14,6 +14,7 @@ of their id. Its size doesn't depend on the data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ EPOCHS = 4
 LEAST = 128
 THRESHOLD = 0.7
 PAD = 8
+BATCH = 512
 
 
 @dataclass
@@ -43,29 +45,37 @@ class Bags:
     owner: np.ndarray
 
 
-def bags(texts: list[str]) -> Bags:
-    raw = [x.encode() for x in texts]
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one buffer, A-Z lowered and white space as spaces; starts, ends, texts and hashes of the words."""
     buf = H.LOWER[np.frombuffer(b"\n" + b"\n".join(raw) + b"\n" * PAD, dtype=np.uint8)]
-    space = H.SPACE[buf]
-    buf = np.where(space, np.uint8(32), buf)
+    buf = np.where(H.SPACE[buf], np.uint8(32), buf)
     starts, ends = H.word_spans(buf)
     edges = np.cumsum([len(r) + 1 for r in raw]) + 1
-    doc = np.searchsorted(edges, starts, side="right")
-    words = H.word_hashes(buf, starts, ends)
+    return buf, starts, ends, np.searchsorted(edges, starts, side="right"), H.word_hashes(buf, starts, ends)
+
+
+def _cut(doc: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which words are a text's first of the kind, the segment of each or -1, each segment's text)."""
     order = np.argsort(words + doc.astype(U) * H.ODD[40], kind="stable")
     same = (words[order][1:] == words[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     kept = np.ones(len(doc), dtype=bool)
     kept[order[1:][same]] = False
-    per = np.bincount(doc[kept], minlength=len(raw))
+    per = np.bincount(doc[kept], minlength=n)
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     new = place % SEGMENT == 0
-    owner = doc[kept][new]
     seg = np.full(len(doc), -1)
     seg[kept] = np.cumsum(new) - 1
-    word_at = np.cumsum(np.bincount(starts, minlength=len(buf))) - 1  # the last word that starts at or before a byte
+    return kept, seg, doc[kept][new]
+
+
+def bags(raw: list[bytes]) -> Bags:
+    buf, starts, ends, doc, words = _words(raw)
+    space = buf == 32
+    kept, seg, owner = _cut(doc, words, len(raw))
+    word_at = (np.cumsum(np.bincount(starts, minlength=len(buf))) - 1).astype(np.int32)  # the last word that starts at or before a byte
     buckets = [(words[kept] >> U(47)).astype(np.int32)]
-    segments = [seg[kept]]
-    gaps = np.append(0, np.cumsum(space))
+    segments = [seg[kept].astype(np.int32)]
+    gaps = np.append(0, np.cumsum(space)).astype(np.int32)
     for n in GRAMS:
         rank = H.string_ranks(buf, n)
         at = np.flatnonzero(gaps[n - 1 : n - 1 + len(rank)] == gaps[1 : 1 + len(rank)])  # no gap inside, ends allowed
@@ -74,10 +84,17 @@ def bags(texts: list[str]) -> Bags:
         mine = (of >= 0) & (seg[of] >= 0) if len(starts) else np.zeros(0, bool)
         at, of = at[: len(of)][mine], of[mine]
         buckets.append((H.mix(rank[at] + U(n)) >> U(47)).astype(np.int32))
-        segments.append(seg[of])
+        segments.append(seg[of].astype(np.int32))
     return Bags(np.concatenate(buckets), np.concatenate(segments), owner)
 
 
+def _features(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets by segment, how many each has, where each one's start)."""
+    b = bags(segments)
+    n = np.bincount(b.segment, minlength=len(segments))
+    return b.bucket[np.argsort(b.segment, kind="stable")], n, np.cumsum(n) - n
+
+
 def _chunks(texts: list[str], size: int = 1 << 19):
     lo = 0
     while lo < len(texts):
@@ -102,7 +119,7 @@ class Model:
         """Log-odds of each text's worst segment; those of an empty bag without words."""
         out = np.full(len(texts), self.bias)
         for lo, hi in _chunks(texts):
-            b = bags(texts[lo:hi])
+            b = bags([x.encode() for x in texts[lo:hi]])
             if len(b.owner):
                 n = np.maximum(np.bincount(b.segment, minlength=len(b.owner)), LEAST)
                 total = np.bincount(b.segment, weights=self.value[b.bucket], minlength=len(b.owner)) / n + self.bias
@@ -131,8 +148,31 @@ def _calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
+def _segments(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """Each segment's words as bytes, and its text's number. A segment takes up no more than its part of the text."""
+    out, owners = [], []
+    for lo, hi in _chunks(texts):
+        raw = [x.encode() for x in texts[lo:hi]]
+        buf, starts, ends, doc, words = _words(raw)
+        kept, seg, owner = _cut(doc, words, len(raw))
+        # The first occurrences in order, each with the byte after it, which is white space.
+        turn = np.zeros(len(buf) + 1, np.int8)
+        turn[starts[kept]] += 1
+        turn[ends[kept] + 1] -= 1
+        body = buf[np.cumsum(turn[:-1]) > 0].tobytes()
+        size = np.bincount(seg[kept], weights=ends[kept] - starts[kept] + 1, minlength=len(owner)).astype(np.int64)
+        edge = np.append(0, np.cumsum(size)).tolist()
+        out += [body[a:z] for a, z in pairwise(edge)]
+        owners.append(owner + lo)
+    return out, np.concatenate(owners) if owners else np.zeros(0, np.int64)
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """Fit on the texts; a fifth of them sets the scale of the score."""
+    """Fit on the texts; a fifth of them sets the scale of the score.
+
+    Held in memory are the texts, their segments (as long as the texts at most) and the features of
+    one minibatch; those of all segments never are.
+    """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -142,48 +182,36 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
         held = np.zeros(len(y), bool)
     own = np.flatnonzero(~held)
-    bucket, count, owner = [], [], []
-    part = [texts[i] for i in own]
-    for lo, hi in _chunks(part):
-        b = bags(part[lo:hi])
-        order = np.argsort(b.segment, kind="stable")
-        bucket.append(b.bucket[order])
-        count.append(np.bincount(b.segment, minlength=len(b.owner)))
-        owner.append(b.owner + lo)
-    bucket, count, owner = (np.concatenate(z) for z in (bucket, count, owner))
-    first = np.cumsum(count) - count
-    label = y[own]
+    segments, owner = _segments([texts[i] for i in own])
+    label = y[own][owner].astype(int)
     emb = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     weight = rng.normal(0, 0.5, (DIM, 2))
-    bias = np.log(np.array([1 - label.mean(), label.mean()]))
+    bias = np.log(np.array([1 - y[own].mean(), y[own].mean()]))
     square = np.full(BUCKETS, 1e-8)
-
-    def logits() -> np.ndarray:
-        value = emb @ (weight[:, 1] - weight[:, 0])
-        return np.add.reduceat(value[bucket], first) / np.maximum(count, LEAST)
-
-    good = np.flatnonzero(label[owner] == 0)
+    good, toxic = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
     for epoch in range(epochs):
-        order = np.lexsort((-logits() if epoch else rng.random(len(owner)), owner))
-        head = order[np.append(True, owner[order][1:] != owner[order][:-1])]
-        worst = head[label[owner[head]] == 1]
-        if not epoch:
-            worst = np.flatnonzero(label[owner] == 1)
+        worst = toxic
+        if epoch and len(toxic):  # a toxic text's example is its worst segment so far
+            value = emb @ (weight[:, 1] - weight[:, 0])
+            odds = np.zeros(len(toxic))
+            for lo in range(0, len(toxic), BATCH):
+                ids, n, edge = _features([segments[i] for i in toxic[lo : lo + BATCH]])
+                odds[lo : lo + BATCH] = np.add.reduceat(value[ids], edge) / np.maximum(n, LEAST)
+            order = np.lexsort((-odds, owner[toxic]))
+            who = owner[toxic][order]
+            worst = toxic[order[np.append(True, who[1:] != who[:-1])]]
         bad = np.tile(worst, max(1, len(good) // (3 * max(1, len(worst)))))
         take = rng.permutation(np.concatenate([good, bad]))
-        for lo in range(0, len(take), 512):
-            s = take[lo : lo + 512]
-            n = count[s]
-            at = np.repeat(first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            ids = bucket[at]
-            edge = np.cumsum(n) - n
+        for lo in range(0, len(take), BATCH):
+            s = take[lo : lo + BATCH]
+            ids, n, edge = _features([segments[i] for i in s])
             hidden = np.add.reduceat(emb[ids], edge, axis=0) / np.maximum(n, LEAST)[:, None]
             z = hidden @ weight + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             g = p.copy()
-            g[np.arange(len(s)), label[owner[s]].astype(int)] -= 1
+            g[np.arange(len(s)), label[s]] -= 1
             g /= len(s)
             back = (g @ weight.T) / np.maximum(n, LEAST)[:, None]
             weight -= 2.0 * hidden.T @ g
