@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -30,20 +32,6 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-INVERSE = U(pow(int(ODD[0]), -1, 1 << 64))
-_P: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_P.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        _P["p"] = powers(size)
-        inv = np.full(size, INVERSE, dtype=U)
-        inv[0] = 1
-        _P["i"] = np.multiply.accumulate(inv)
-    return _P["p"][:n], _P["i"][:n]
-
-
 def doubled(rank: np.ndarray, step: int, offset: int) -> np.ndarray:
     """Ranks of strings of twice the length, or less: of each position's rank and that at offset."""
     return mix(rank[: len(rank) - offset] * ODD[2 * step] + rank[offset:] * ODD[2 * step + 1])
@@ -75,6 +63,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Masks of the first 0 to 8 bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+LONG = 4096
+
+
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words: maximal runs without ASCII white space."""
     gap = np.ones(len(buf) + 2, dtype=bool)
@@ -84,11 +77,24 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of buf."""
-    p, inv = _tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=U)
-    np.cumsum(BYTE[buf] * p[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U) * GOLD)
+    """A hash of each span of buf: eight bytes at a time, each step mixed with all before it; spans over LONG by a library."""
+    size = ends - starts
+    out = np.full(len(starts), GOLD, dtype=U)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    wide = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    some, at = np.arange(len(starts)), 0
+    if len(size) and size.max() > LONG:
+        for i in np.flatnonzero(size > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        some = np.flatnonzero(size <= LONG)
+    while len(some):
+        piece = np.ascontiguousarray(wide[starts[some] + at]).view("<u8").ravel()
+        left = size[some] - at
+        piece &= FIRST[np.minimum(left, 8)]
+        out[some] = mix(out[some] * ODD[41] + piece)
+        at += 8
+        some = some[left > 8]
+    return mix(out + size.astype(U) * GOLD)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm import exchange as X
@@ -74,14 +75,13 @@ class _Block:
     def __init__(self, t: pa.Table, n: int):
         ids, texts = t.column("doc_id").to_pylist(), [x.encode() for x in t.column("text").to_pylist()]
         self.docs: list[tuple[int | None, int, int]] = []  # id, size, index of the set
-        index: dict[tuple, int] = {}
+        index: dict[bytes, int] = {}
         self.sets: list[np.ndarray] = []
         self.reps: list[int] = []
         for i, s in zip(ids, shingle_sets(texts, n), strict=True):
             k = -1
             if len(s) and i is not None:
-                name = (len(s), int(s.sum(dtype=U)), int(H.mix(s).sum(dtype=U)))
-                k = index.setdefault(name, len(self.sets))
+                k = index.setdefault(s.tobytes(), len(self.sets))
                 if k == len(self.sets):
                     self.sets.append(s)
                     self.reps.append(i)
@@ -134,19 +134,8 @@ def _edge_table(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes: two of a pair's shingles agree by chance about once in 10**9 pairs."""
-    return np.ascontiguousarray((s >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
 def _unpacked(t: pa.Table, name: str = "shingles") -> list[np.ndarray]:
-    out = []
-    for x in t.column(name):
-        raw = np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), dtype=np.uint8)
-        wide[:, :6] = raw
-        out.append(wide.view(U).ravel())
-    return out
+    return [np.frombuffer(x.as_buffer(), dtype=U) for x in t.column(name)]
 
 
 def _local_links(num: int, den: int):
@@ -309,7 +298,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             "rep": pa.array([b.reps[x[2]] if x[2] >= 0 else None for x in b.docs] + [None] * e + [b.reps[i] for i in held], pa.int64()),
             "comp": pa.array([None] * d + [x[1] for x in edge] + [comp[i] for i in held], pa.int64()),
             "pivot": pa.array([None] * d + [x[0] for x in edge] + [None] * s, pa.int64()),
-            "shingles": pa.array([None] * (d + e) + [_packed(b.sets[i]) for i in held], pa.binary()),
+            "shingles": pa.array([None] * (d + e) + [b.sets[i].tobytes() for i in held], pa.binary()),
         })
 
     asked = texts.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary").repartition(1 << bits, "bucket")
@@ -340,9 +329,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each class: that with the smallest id; rows with a null id stay."""
-    found = jaccard_classes(docs, doc_id=doc_id, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("__gone"), "left_anti")
+    """docs with one row of each class: a row with the smallest id.
+
+    Of several rows with that id, which are of one class by their id alone, the one with the least
+    text stays (a null one last). Rows with a null id, and all columns, stay. An empty table gives an empty one.
+    """
+    found = jaccard_classes(docs, doc_id=doc_id, **how)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    again = docs.groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1 and __id is not null").select("__id")
+    if not again.take(1):
+        return kept
+    text = how.get("text", "text")
+    place = W.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *(F.col(f"`{c}`").cast("string") for c in docs.columns))
+    # Only rows whose id is repeated meet by it.
+    repeated = kept.join(again, kept[doc_id] == F.col("__id"), "left_semi").withColumn("__place", F.row_number().over(place)).filter("__place = 1").drop("__place")
+    return kept.join(again, kept[doc_id] == F.col("__id"), "left_anti").unionByName(repeated)
 
 
 def op3(docs: DataFrame) -> DataFrame:

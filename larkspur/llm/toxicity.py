@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 SEGMENT = 16
 DIM = 8
 SAMPLE = 5000
-EPOCHS = 4
+EPOCHS = 6
 LEAST = 128
 THRESHOLD = 0.7
 PAD = 8

@@ -62,6 +62,17 @@ def classes(rows, n, num, den):
     return [(d, len(s), None if d is None else u.find(d)) for d, s in sets]
 
 
+def one_of_each(rows):
+    """A row of each class, that with the smallest id and of such rows the least text; rows without an id stay."""
+    out, best = [], {}
+    for (d, t), (_, _, c) in zip(rows, classes(rows, 5, 80, 100), strict=True):
+        if d is None:
+            out.append((d, t))
+        elif d == c and (d not in best or (t is None, t or "") < (best[d] is None, best[d] or "")):
+            best[d] = t
+    return out + list(best.items())
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

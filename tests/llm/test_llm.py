@@ -117,7 +117,7 @@ def test_classes(docs, rows, none, n, num, den, local):
 
 def test_keep_one(docs, rows):
     got = jaccard_join.keep_one(docs)
-    want = [(d, t) for (d, t), (_, _, c) in zip(rows, brute.classes(rows, 5, 80, 100), strict=True) if d == c]
+    want = brute.one_of_each(rows)
     assert got.columns == docs.columns
     same(got.select("doc_id", "text").collect(), want)
 
@@ -341,7 +341,27 @@ def test_pipeline(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = toxicity.fit(docs, table(spark, SF, "labels"))
     clean = [(d, t) for (d, t), s in zip(rows, model.score([t or "" for _, t in rows]), strict=True) if s < toxicity.THRESHOLD]
-    one = [(d, t) for (d, t), (_, _, c) in zip(clean, brute.classes(clean, 5, 80, 100), strict=True) if d == c]
+    one = brute.one_of_each(clean)
     items = decontamination.Items([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
     want = {d for (d, _), hits in zip(one, items.found([t or "" for _, t in one]), strict=True) if not hits}
     assert kept == want
+
+
+def test_word_hashes():
+    from larkspur.llm import hashing as H
+
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    words = [thue, thue.translate(str.maketrans("ab", "ba")), "a", "aa", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "b" * 5000, "b" * 5001]
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    assert len(set(H.word_hashes(buf, *H.word_spans(buf)).tolist())) == len(words)
+
+
+def test_thue_morse(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
+    assert {r.doc_id: r.component_id for r in jaccard_join.op3(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_keep_one_of_repeats(spark):
+    rows = [(1, "t"), (1, "t"), (2, "t"), (3, "z"), (3, "y"), (3, None), (None, "t"), (None, "t")]
+    same(jaccard_join.keep_one(frame(spark, rows)).select("doc_id", "text").collect(), [(1, "t"), (3, "y"), (None, "t"), (None, "t")])
