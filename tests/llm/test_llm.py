@@ -169,7 +169,7 @@ def test_codes():
 def test_private(spark, docs, rows, none):
     r = random.Random(3)
     bits = ["1", "4111 1111 1111 1111", "+", "-", " ", "@", "a", "b.c", ".", "1.2.3.4", "é", "_", "%", "😀", "255", "000", "9", "(", ")", "4242424242424242", "\n", "..", "x@y.z", "12345678"]
-    some = [*rows, *((50 + i, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for i in range(500)), (1, "a@" + "b." * 100_000 + "c"), (2, "1" * 100_000 + " " + "1 " * 50_000)]
+    some = [*rows, *((50 + i, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for i in range(500)), (1, "a@" + "b." * 300_000 + "c"), (3, "a@b.c..d@e.f x@y.z." + "a@b" * 9), (2, "1" * 100_000 + " " + "1 " * 50_000)]
     got = pii.op5(frame(spark, some)).collect()
     text = lambda spans: ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
     want = []
@@ -188,6 +188,64 @@ def test_redaction(spark):
     assert by[2].text is None and by[3].text == "nothing here"
 
 
+def test_many_matches(spark):
+    """Time grows little faster than the number of matches in one text; overlaps and redaction agree with plain versions."""
+    import time
+
+    def text(n):
+        return " ".join(f"u{i}@x.org token=ab{i:09d}cdef 10.0.{i % 256}.1" if i % 3 else f"key ZZ{i:012d}qq" for i in range(n))
+
+    took = {}
+    for n in (1000, 16_000):
+        df = frame(spark, [(1, text(n))])
+        pii.find_pii(df).count()
+        began = time.perf_counter()
+        (row,) = pii.find_pii(df).select("text", "spans", pii.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
+        took[n] = time.perf_counter() - began
+        at, want = 0, []
+        for s in sorted(row.spans, key=lambda s: (s["start"], s["end"], s["kind"])):
+            assert row.text[s["start"] : s["end"]] == s["value"]
+            if s["start"] >= at:
+                want += [row.text[at : s["start"]], f"<{s['kind']}>"]
+            at = max(at, s["end"])
+        assert row.clean == "".join(want) + row.text[at:] and len(row.spans) > n
+        base = [s for s in row.spans if s["kind"] in pii.BASE]
+        assert [(s["kind"], s["start"], s["end"]) for s in base] == brute.private(row.text)
+    assert took[16_000] < 20 * max(took[1000], 0.5)
+
+
+def test_trees():
+    r = np.random.default_rng(0)
+    x = r.integers(0, 6, (800, 4)).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 2] <= 3)).astype(float)
+    trees = pii.boost(x, y, rounds=20, depth=2)
+
+    def walk(t, row):
+        while isinstance(t, pii.Split):
+            t = t.below if row[t.feature] <= t.bound else t.above
+        return t
+
+    total = np.array([sum(walk(t, row) for t in trees) for row in x])
+    assert np.allclose(total, sum(pii._apply(t, x) for t in trees)) and ((total > 0) == (y == 1)).mean() > 0.99
+
+
+def test_scores_of_spans(spark):
+    """The columns' scores and decisions are those of the trees in numpy."""
+    model = pii.fit(spark)
+    made = pii.training_texts(200, seed=99)
+    df = frame(spark, [(i, t) for i, t, *_ in made])
+    span = pii.candidates(df).select("doc_id", pii._pieces(F.col("text")).alias("pieces"), F.explode("more").alias("s"))
+    f = pii.features(F.col("pieces"), F.col("s"))
+    rows = span.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), *(c.alias(k) for k, c in f.items()), model.score(f).alias("p")).collect()
+    x = np.array([[g[k] for k in pii.FEATURES] for g in rows])
+    p = 1 / (1 + np.exp(-sum(pii._apply(t, x) for t in model.trees)))
+    assert np.allclose(p, [g.p for g in rows])
+    taken = {(r.doc_id, s["kind"], s["start"]) for r in pii.find_pii(df).collect() for s in r.spans if s["kind"] in pii.MORE}
+    base = {r.doc_id: [s for s in r.base] for r in pii.find_pii(df).collect()}
+    want = {(g.doc_id, g.kind, g.start) for g, q in zip(rows, p, strict=True) if q >= model.thresholds[g.kind]}
+    assert taken <= want and all(any(True for _ in base[d]) for d, _, _ in want - taken)
+
+
 def test_leaks(spark, docs, none):
     r = random.Random(4)
     say = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
