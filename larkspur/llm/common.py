@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all nodes see: spark.checkpoint.dir, or one of this machine where it is unset and the master is local."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_larkspur_shared", None)
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its nodes see")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         sc._larkspur_shared = found
     return found.rstrip("/")
@@ -28,6 +34,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """pyarrow's file system for a folder that Spark names, and the path in it. Hadoop's s3a and s3n are pyarrow's s3."""
+    scheme, mark, rest = path.partition("://")
+    return pa.fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
+
+
+def put(path: str, data: bytes) -> None:
+    """Write a file whole or not at all: a task that runs twice leaves one file."""
+    fs, at = file_system(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    part = f"{at}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, at)
+
+
+def get(path: str) -> bytes:
+    fs, at = file_system(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders that nothing reads any more."""
     for path in paths:
@@ -67,6 +95,41 @@ def blocked(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str =
     )
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker process that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
+def lean(f):
+    """A function of a group (key, table) or of two cogrouped ones that releases what it used."""
+
+    def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        try:
+            return f(key, t)
+        finally:
+            release()
+
+    def two(key: tuple[pa.Scalar, ...], t: pa.Table, u: pa.Table) -> pa.Table:
+        try:
+            return f(key, t, u)
+        finally:
+            release()
+
+    return one if len(inspect.signature(f).parameters) == 2 else two
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); component is the smallest node reachable.
 

@@ -7,27 +7,31 @@ all of them in one of the bands of 2 (e + 1) diagonals that start every e + 1. B
 shared q-grams are kept and aligned in the band; the rest of a document is never aligned. q is at
 most LONGEST, and as long as an item's bound stays positive; items are grouped by q.
 
-Items go to the tasks with the code, SLICE bytes of them at a time: a larger benchmark takes more
-passes over the documents, not more memory.
+The distinct items are written to the shared folder in slices of about SLICE bytes. A task reads
+each slice for each batch of its documents and keeps the last few of them: the driver holds no item,
+texts are not shuffled and documents are read once. A larger benchmark takes more time, not more memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import hashing as H
-from larkspur.llm.common import materialize, union_all
+from larkspur.llm.common import file_system, release, scratch, text_bytes
 
 U = np.uint64
 RATE = 0.06
 LONGEST = 12
-SLICE = 8 << 20
+SLICE = 1 << 20
 BITS = 22
 
 
@@ -154,57 +158,116 @@ class Items:
             band = name % (2 * len(buf) + 4) - len(buf) - 2
             pair = name // (2 * len(buf) + 4)
             doc, item = pair // len(g.items), pair % len(g.items)
+            best: dict[tuple[int, int], tuple[int, int]] = {}
             for j in np.flatnonzero(count >= g.need[item]):
                 d, i = int(doc[j]), int(item[j])
+                if best.get((d, i), (1, 0))[0] == 0:
+                    continue  # it can't get better
                 e, body, lo = int(g.budget[i]), g.items[i], int(ends[d]) - len(bodies[d]) - 1
                 low, high = int(band[j]) * (e + 1) - lo, (int(band[j]) + 2) * (e + 1) - 1 - lo
-                cost, end = edits(body, bodies[d], low - e, high + e)
-                if cost <= e:
-                    out[d].append((int(g.ids[i]), cost, max(0, end - len(body) - e), end))
+                if e:
+                    cost, end = edits(body, bodies[d], low - e, high + e)
+                else:
+                    at = next((x for x in range(max(low, 0), high + 1) if np.array_equal(bodies[d][x : x + len(body)], body)), None)
+                    cost, end = (1, 0) if at is None else (0, at + len(body))
+                if cost <= e and cost < best.get((d, i), (e + 1, 0))[0]:
+                    best[d, i] = cost, end
+            for (d, i), (cost, end) in best.items():
+                out[d].append((int(g.ids[i]), cost, max(0, end - len(g.items[i]) - int(g.budget[i])), end))
         return out
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items with a text, SLICE bytes at a time."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("body")).filter("item is not null and trim(body) <> ''")
-    part, size = [], 0
-    for r in rows.toLocalIterator():
-        part.append((r.item, r.body))
-        size += len(r.body.encode())
-        if size >= SLICE:
-            yield part
-            part, size = [], 0
-    yield part
+@dataclass(frozen=True)
+class Slices:
+    """The items in the shared folder: path/slice=0 to path/slice=(n - 1)."""
+
+    path: str
+    n: int
+    rate: float
+
+    def found(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """As Items.found, over all slices; an item is in one of them."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        for k in range(self.n):
+            for mine, more in zip(out, _items(self, k).found(texts), strict=True):
+                mine += more
+        return out
+
+
+@lru_cache(maxsize=4)
+def _items(slices: Slices, k: int) -> Items:
+    """The items of a slice: a worker process keeps the last ones."""
+    fs, at = file_system(f"{slices.path}/slice={k}")
+    files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [r for f in sorted(files) for r in pq.read_table(fs.open_input_file(f)).select(["item", "body"]).to_pylist()]
+    return Items([(r["item"], r["body"]) for r in rows], slices.rate)
+
+
+def slices_of(benchmark: DataFrame, rate: float = RATE, item_id: str = "item_id", text: str = "text") -> Slices:
+    """The distinct items with a text, written to the shared folder; drop its path when no result reads it any more."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("body")).filter("item is not null and trim(body) <> ''").distinct()
+    n = -(-text_bytes(rows, "body") // SLICE)
+    path = scratch(benchmark.sparkSession, "items")
+    if n:
+        cut = rows.withColumn("slice", F.pmod(F.xxhash64("item", "body"), F.lit(n)).cast("int"))
+        cut.repartition(n, "slice").write.partitionBy("slice").parquet(path)
+    return Slices(path, n, rate)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits) of the documents that contain items, each item with its fewest edits.
 
     Items that are null, empty or blank, and rows with a null item id, are found in nothing. A null
-    text contains nothing; a null doc_id is kept. Repeated rows of documents count once. An empty
-    table of either kind gives an empty one. Other columns are ignored, whatever their names.
+    text contains nothing; a null doc_id is kept. Repeated rows, and rows with one id, count once. An
+    empty table of either kind gives an empty one. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    frames = []
-    for part in _slices(benchmark, item_id, item_text):
+    slices = slices_of(benchmark, rate, item_id, item_text)
+
+    def search(batches):
+        for b in batches:
+            hits = [(d, *h) for d, hs in zip(b.column("doc_id").to_pylist(), slices.found([x or "" for x in b.column("text").to_pylist()]), strict=True) for h in hs]
+            yield pa.record_batch({"doc_id": pa.array([h[0] for h in hits], pa.int64()), "item_id": pa.array([h[1] for h in hits], pa.int64()), "edits": pa.array([h[2] for h in hits], pa.int32())})
+        release()
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(search, "doc_id long, item_id long, edits int").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
-        def search(batches, part=part):
-            items = Items(part, rate)
-            for b in batches:
-                hits = [(d, *h) for d, hs in zip(b.column("doc_id").to_pylist(), items.found(b.column("text").to_pylist()), strict=True) for h in hs]
-                yield pa.record_batch({"doc_id": pa.array([h[0] for h in hits], pa.int64()), "item_id": pa.array([h[1] for h in hits], pa.int64()), "edits": pa.array([h[2] for h in hits], pa.int32())})
 
-        frames.append(rows.mapInArrow(search, "doc_id long, item_id long, edits int"))
-    return union_all(frames).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text contains a benchmark item; all columns are kept.
+
+    Each row is judged by its own text, whatever its id. A null text stays; blank or null items and
+    rows with a null item id remove nothing. An empty table of documents gives an empty one.
+    """
+    slices, place = slices_of(benchmark, rate, item_id, item_text), docs.columns.index(text)
+
+    def search(batches):
+        for b in batches:
+            yield b.filter(pa.array([not h for h in slices.found([x or "" for x in b.column(place).to_pylist()])], pa.bool_()))
+        release()
+
+    return docs.mapInArrow(search, docs.schema)
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, contaminated, item_ids, least_edits) of every row, by its own text; item_ids ascend, comma-joined.
+
+    Null ids and repeated rows are kept. What contains nothing, a null text too, has an empty
+    item_ids and a null least_edits. Empty tables and odd items are as in `decontaminate`.
+    """
+    slices = slices_of(benchmark, rate, item_id, item_text)
 
+    def search(batches):
+        for b in batches:
+            found = slices.found([x or "" for x in b.column("text").to_pylist()])
+            ids = [",".join(map(str, sorted({h[0] for h in hs}))) for hs in found]
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "contaminated": pa.array([bool(h) for h in found], pa.bool_()), "item_ids": pa.array(ids, pa.string()), "least_edits": pa.array([min((h[1] for h in hs), default=None) for hs in found], pa.int32())})
+        release()
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that contain a benchmark item; all columns are kept, and rows with a null id stay."""
-    found, _ = materialize(contaminated(docs, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(found, docs[doc_id] == F.col("__leak"), "left_anti")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(search, "doc_id long, contaminated boolean, item_ids string, least_edits int")
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = contaminated(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.min("edits").alias("least_edits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id")).join(found, F.col("id") == F.col("doc_id"), "left")
-    return rows.select(F.col("id").alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"), "least_edits")
+    """`marked` at the default edit rate."""
+    return marked(docs, benchmark)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exchange as X
 from larkspur.llm import hashing as H
-from larkspur.llm.common import block_count, blocked, connected_components, drop, materialize, scratch, text_bytes, union_all
+from larkspur.llm.common import block_count, blocked, connected_components, drop, lean, materialize, scratch, text_bytes, union_all
 
 U = np.uint64
 PIVOTS = 8
@@ -193,7 +193,7 @@ def _large(rows: DataFrame, num: int, den: int, local: int, done: list[DataFrame
             cols |= {"shingles": pa.array(t.column("shingles").to_pylist() + [None] * len(out), pa.binary()), "main": pa.array(t.column("main").to_pylist() + [None] * len(out), pa.int64())}
             return pa.table(cols)
 
-        told = chunk.select("cluster", "part", "rep", "shingles", "main").groupBy("cluster", "part").cogroup(pivots.groupBy("cluster", "part")).applyInArrow(measure, "kind string, cluster long, rep long, b long, mask long, used boolean, far array<double>, shingles binary, main long")
+        told = chunk.select("cluster", "part", "rep", "shingles", "main").groupBy("cluster", "part").cogroup(pivots.groupBy("cluster", "part")).applyInArrow(lean(measure), "kind string, cluster long, rep long, b long, mask long, used boolean, far array<double>, shingles binary, main long")
         told, path = materialize(told, "pivots")
         trash.append(path)
         done.append(told.filter("kind = 'e'").select(F.col("rep").alias("a"), "b"))
@@ -228,7 +228,7 @@ def _large(rows: DataFrame, num: int, den: int, local: int, done: list[DataFrame
     return union_all(ready)
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 12 << 20, local: int = 400) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, local: int = 400) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; exact for a Jaccard similarity of num / den or more.
 
     Words are runs without ASCII white space of the whole text, A-Z lowered. A text with fewer
@@ -301,9 +301,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             "shingles": pa.array([None] * (d + e) + [b.sets[i].tobytes() for i in held], pa.binary()),
         })
 
-    asked = texts.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, counts binary").repartition(1 << bits, "bucket")
-    told = asked.groupBy("bucket").applyInArrow(count, "block int, bucket int, rarity binary").repartition(n_blocks, "block")
-    dealt = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(regions, "kind string, doc_id long, n_shingles long, rep long, comp long, pivot long, shingles binary")
+    asked = texts.groupBy("block").applyInArrow(lean(ask), "bucket int, block int, keys binary, counts binary").repartition(1 << bits, "bucket")
+    told = asked.groupBy("bucket").applyInArrow(lean(count), "block int, bucket int, rarity binary").repartition(n_blocks, "block")
+    dealt = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean(regions), "kind string, doc_id long, n_shingles long, rep long, comp long, pivot long, shingles binary")
     path, trash = scratch(spark, "regions"), []
     dealt.write.partitionBy("kind").parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path)
@@ -320,7 +320,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     small = sets.filter(F.col("members") <= local).select("cluster", "rep", "shingles", F.lit(None).cast("long").alias("main"))
     if where.filter(F.col("members") > local).take(1):
         small = small.unionByName(_large(sets.filter(F.col("members") > local).drop("members"), num, den, local, links, trash))
-    links.append(small.groupBy("cluster").applyInArrow(_local_links(num, den), "a long, b long"))
+    links.append(small.groupBy("cluster").applyInArrow(lean(_local_links(num, den)), "a long, b long"))
     found, more = materialize(union_all(links), "links")
     drop(spark, *trash)
     component = connected_components(found)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import hash_of
+from larkspur.llm.common import hash_of, lean
 
 CAPACITY = 8192
 PER_SOURCE = 2
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         return pa.table({n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(names)})
 
     schema = "doc_id long, piece long, piece_start long, piece_bytes long, bin_id long, bin_start long"
-    return rows.repartition(groups, "group").groupBy("group").applyInArrow(run, schema)
+    return rows.repartition(groups, "group").groupBy("group").applyInArrow(lean(run), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

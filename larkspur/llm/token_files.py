@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,12 +24,11 @@ from operator import not_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larkspur.llm.common import block_count, materialize, scratch, text_bytes
+from larkspur.llm.common import block_count, get, materialize, put, scratch, text_bytes
 
 MAGIC = b"LKT1"
 BLOCK = 4096
@@ -321,22 +319,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     return materialize(written, "manifest")[0]
 
 
-def put(path: str, data: bytes) -> None:
-    """Write a file whole or not at all: a task that runs twice leaves one file."""
-    fs, at = pa.fs.FileSystem.from_uri(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    part = f"{at}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, at)
-
-
-def get(path: str) -> bytes:
-    fs, at = pa.fs.FileSystem.from_uri(path)
-    with fs.open_input_file(at) as f:
-        return f.read()
-
-
 def read_tokens(manifest: DataFrame, with_ids: bool = True, spread: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of the files' documents.
 

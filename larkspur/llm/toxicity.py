@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import hashing as H
+from larkspur.llm.common import release
 
 U = np.uint64
 GRAMS = (3, 4, 5)
@@ -241,7 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     rows = docs.join(F.broadcast(marks), docs[doc_id] == F.col("__id"))
     rows = rows.groupBy("__id", "__label").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("__text")).collect()
     rows.sort(key=lambda r: r["__id"])
-    return train([r["__text"] for r in rows], [int(r["__label"] == 1) for r in rows])
+    found = train([r["__text"] for r in rows], [int(r["__label"] == 1) for r in rows])
+    del rows
+    release()
+    return found
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,6 +254,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches):
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "score": pa.array(model.score(b.column("text").to_pylist()), pa.float64())})
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -264,6 +269,7 @@ def reject(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         for b in batches:
             s = model.score([x or "" for x in b.column(place).to_pylist()])
             yield b.filter(pa.array(s < THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, fields)
 

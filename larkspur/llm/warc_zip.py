@@ -18,12 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import block_count, drop, materialize, scratch, text_bytes
-from larkspur.llm.token_files import put
+from larkspur.llm.common import block_count, drop, file_system, materialize, put, scratch, text_bytes
 
 ARCHIVE = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
@@ -36,7 +34,7 @@ class Ranges:
     """Byte ranges of a file in any store pyarrow knows."""
 
     def __init__(self, path: str):
-        fs, at = pa.fs.FileSystem.from_uri(path)
+        fs, at = file_system(path)
         self.file = fs.open_input_file(at)
         self.size = self.file.size()
 

@@ -246,7 +246,7 @@ def test_scores_of_spans(spark):
     assert taken <= want and all(any(True for _ in base[d]) for d, _, _ in want - taken)
 
 
-def test_leaks(spark, docs, none):
+def test_leaks(spark, docs, none, monkeypatch):
     r = random.Random(4)
     say = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
     items = [(i, say(r.randint(1, 120), "abc de")) for i in range(30)]
@@ -272,6 +272,18 @@ def test_leaks(spark, docs, none):
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
     kept = decontamination.decontaminate(frame(spark, [*texts, (None, "z")]), bench)
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in texts if not got[i]} | {None}
+    leak = next(t for i, t in texts if got[i])
+    odd = frame(spark, [(1, "clean zzz"), (1, leak), (None, leak), (2, None), (2, None)])
+    same(decontamination.decontaminate(odd, bench).select("doc_id", "text").collect(), [(1, "clean zzz"), (2, None), (2, None)])
+    full = {}
+    for (i, t), r in zip([*texts, (900, None)], sorted(decontamination.op6(frame(spark, [*texts, (900, None)]), bench).collect(), key=lambda r: r.doc_id), strict=True):
+        full[i] = r
+        cost = {k: c for k, x in items if (p := norm(x)) and (c := brute.edit_distance_within(p, decontamination.normal(t or "").tolist())) <= int(decontamination.RATE * len(p))}
+        assert (r.doc_id, r.contaminated, r.item_ids, r.least_edits) == (i, bool(cost), ",".join(map(str, sorted(cost))), min(cost.values(), default=None))
+    same([tuple(r) for r in decontamination.op6(odd, bench).collect() if r.doc_id == 1], [(1, False, "", None), (1, True, full[[i for i, t in texts if t == leak][0]].item_ids, full[[i for i, t in texts if t == leak][0]].least_edits)])
+    monkeypatch.setattr(decontamination, "SLICE", 200)
+    again = decontamination.op6(frame(spark, [*texts, (900, None)]), bench).collect()
+    same(again, full.values())
 
 
 def test_toxicity(spark, none):
