@@ -51,3 +51,9 @@ def dictionary_encode(df: DataFrame, block: str, order: str, value: str) -> tupl
     words = first.select("block", (F.row_number().over(W.partitionBy("block").orderBy("first")) - 1).cast("long").alias("code"), "value")
     joined = df.join(words.withColumnRenamed("value", "__v").withColumnRenamed("block", "__b"), (F.col(block) == F.col("__b")) & F.col(value).eqNullSafe(F.col("__v")))
     return joined.drop("__b", "__v"), words
+
+
+def dictionary_decode(coded: DataFrame, words: DataFrame, block: str, to: str = "value") -> DataFrame:
+    """The coded rows with each code's value; coded has `block` and `code`, words is (block, code, value)."""
+    w = words.select(F.col("block").alias("__b"), F.col("code").alias("__c"), F.col("value").alias(to))
+    return coded.join(w, (F.col(block) == F.col("__b")) & (F.col("code") == F.col("__c"))).drop("__b", "__c")

@@ -19,10 +19,11 @@ def _slots(col, depth: int, width: int, seed: int):
 def count_min(df: DataFrame, column: str, depth: int = DEPTH, width: int = WIDTH, seed: int = 0) -> DataFrame:
     """The sketch as (depth, slot, n), depth * width rows at most; counters stop at 2**32 - 1.
 
-    Values are counted before they are spread over the counters, so a shuffle sees each once a task.
+    Each task adds up its own counters, so the shuffle sees depth * width rows a task at most,
+    however many distinct values there are.
     """
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.select(_slots(F.col("value"), depth, width, seed), "n").groupBy("at.depth", "at.slot").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
+    hits = df.select(_slots(F.col(column), depth, width, seed))
+    return hits.groupBy(F.col("at.depth").alias("depth"), F.col("at.slot").alias("slot")).agg(F.least(F.count("*"), F.lit(MOST)).alias("n"))
 
 
 def estimate(items: DataFrame, column: str, sketch: DataFrame, depth: int = DEPTH, width: int = WIDTH, seed: int = 0) -> DataFrame:

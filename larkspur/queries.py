@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import codecs, sketches
-from larkspur.functions.aggregates import Agg, wrapped
+from larkspur.functions.aggregates import Agg
 from larkspur.functions.predicates import all_of, any_of, compare, negate
 from larkspur.functions.types import DeclaredType as D
 from larkspur.functions.types import field
-from larkspur.operators.ordering import zone_map
+from larkspur.operators.ordering import read_granules, zone_map
 from larkspur.operators.relational import aggregate, group, keep, project
+from larkspur.plans.sql import Engine
 from larkspur.sources.schema import TableDef
 from larkspur.sources.table import Table
 
@@ -42,14 +43,6 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _money(column: str):
-    """Exact sums of cents, whatever the order of rows."""
-    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
-
-
-MONEY = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     e = _read(spark, sf, "events")
     return group(keep(e, compare(e, "value", ">", 50)), ["event_type"], [Agg("count", "*", "n"), Agg("sum", "value", "total"), Agg("avg", "value", "mean"), Agg("min", "value", "low"), Agg("max", "value", "high")])
@@ -98,7 +91,7 @@ def _filter_bool(s, d):
 
 # Aggregates.
 _query("agg_sum_int", "SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")(lambda s, d: aggregate(_read(s, d, "lineitem"), [Agg("sum", "l_linenumber", "total")]))
-_query("agg_sum_double", f"SELECT {MONEY.format('l_extendedprice')} AS total FROM lineitem")(lambda s, d: _read(s, d, "lineitem").agg(F.coalesce(_money("l_extendedprice"), F.lit(0.0)).alias("total")))
+_query("agg_sum_double", "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem")(lambda s, d: aggregate(_read(s, d, "lineitem"), [Agg("sum", "l_extendedprice", "total")]).select(F.round("total", 2).alias("total")))
 _query("agg_avg_int", "SELECT round(avg(l_linenumber), 6) AS mean FROM lineitem")(lambda s, d: aggregate(_read(s, d, "lineitem"), [Agg("avg", "l_linenumber", "mean")]).select(F.round("mean", 6).alias("mean")))
 _query("agg_avg_double", "SELECT round(avg(l_quantity), 6) AS mean FROM lineitem")(lambda s, d: aggregate(_read(s, d, "lineitem"), [Agg("avg", "l_quantity", "mean")]).select(F.round("mean", 6).alias("mean")))
 _query("agg_min_max_int", "SELECT min(l_linenumber) AS low, max(l_linenumber) AS high FROM lineitem")(lambda s, d: aggregate(_read(s, d, "lineitem"), [Agg("min", "l_linenumber", "low"), Agg("max", "l_linenumber", "high")]))
@@ -160,9 +153,10 @@ def _wrap8(s, d):
     return group(df, ["l_returnflag"], [Agg("sum", "x", "total", exact_width=True)])
 
 
-@_query("sum_wrap_i32", "SELECT l_returnflag, CAST((((sum(CAST(l_partkey AS HUGEINT) * 1000003) + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648 AS INTEGER) AS total FROM lineitem GROUP BY l_returnflag")
+@_query("sum_wrap_i32", "SELECT l_returnflag, CAST((((sum(CAST(l_partkey % 2000 AS HUGEINT) * 1000003) + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648 AS INTEGER) AS total FROM lineitem GROUP BY l_returnflag")
 def _wrap32(s, d):
-    return _read(s, d, "lineitem").groupBy("l_returnflag").agg(wrapped(F.sum((F.col("l_partkey") * 1000003).cast("decimal(38,0)")), D.I32).alias("total"))
+    df = _read(s, d, "lineitem").select("l_returnflag", (F.col("l_partkey") % 2000 * 1000003).cast(D.I32.spark).alias("x", metadata=field("x", D.I32).metadata))
+    return group(df, ["l_returnflag"], [Agg("sum", "x", "total", exact_width=True)])
 
 
 # Sketches.
@@ -170,11 +164,14 @@ _query("topk_exact", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id
 _query("topk_approx", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5")(lambda s, d: sketches.approx_top_k(_read(s, d, "events"), "event_type", 5))
 
 
-@_query("cms_estimate", "SELECT user_id, true AS at_least FROM events GROUP BY user_id")
+@_query("cms_estimate", "SELECT user_id, count(*) AS n, true AS at_least, true AS near FROM events GROUP BY user_id")
 def _cms(s, d):
+    """Estimates are never under the count, and over it by 20 in 2,048 of all rows at most (the usual bound is e in 2,048, but for 1 in 148)."""
     df = _read(s, d, "events")
     true = df.groupBy("user_id").agg(F.count("*").alias("n"))
-    return sketches.estimate(true, "user_id", sketches.count_min(df, "user_id")).select("user_id", (F.col("estimate") >= F.col("n")).alias("at_least"))
+    total = df.agg(F.count("*").alias("rows"))
+    found = sketches.estimate(true, "user_id", sketches.count_min(df, "user_id")).crossJoin(F.broadcast(total))
+    return found.select("user_id", "n", (F.col("estimate") >= F.col("n")).alias("at_least"), (F.col("estimate") <= F.col("n") + F.col("rows") * 20 / 2048 + 1).alias("near"))
 
 
 # Logical codecs, in blocks of 1,024 event ids.
@@ -204,14 +201,42 @@ def _dict(s, d):
     return codecs.dictionary_encode(_blocks(s, d), "block", "event_id", "event_type")[0].select("event_id", "code")
 
 
+@_query("codec_delta_decode", f"SELECT event_id, user_id AS value FROM {_BLOCKS}")
+def _undelta(s, d):
+    deltas = _blocks(s, d).select("block", "event_id", F.expr("user_id - coalesce(lag(user_id) OVER (PARTITION BY block ORDER BY event_id), 0)").alias("delta"))
+    return codecs.delta_decode(deltas, "block", "event_id").select("event_id", "value")
+
+
+@_query("codec_rle_decode", f"SELECT block, event_type AS value, count(*) AS n FROM {_BLOCKS} GROUP BY block, event_type")
+def _unrle(s, d):
+    back = codecs.run_lengths_decode(codecs.run_lengths(_blocks(s, d), "block", "event_id", "event_type"))
+    return back.groupBy("block", "value").agg(F.count("*").alias("n"))
+
+
+@_query("codec_dict_decode", "SELECT event_id, event_type AS value FROM events")
+def _undict(s, d):
+    coded, words = codecs.dictionary_encode(_blocks(s, d), "block", "event_id", "event_type")
+    return codecs.dictionary_decode(coded.select("block", "event_id", "code"), words, "block").select("event_id", "value")
+
+
 @_query("granule_zonemap", "SELECT CAST((rn - 1) // 512 AS BIGINT) AS granule, count(*) AS n_rows, min(event_id) AS min_event_id, max(event_id) AS max_event_id, min(value) AS min_value, max(value) AS max_value FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1")
 def _zones(s, d):
     return zone_map(_read(s, d, "events"), "event_id", ["event_id", "value"])
 
 
+@_query("granule_read", "SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) WHERE place // 512 IN (0, 3, 4)")
+def _granules(s, d):
+    df = _read(s, d, "events").select("event_id", "value")
+    return read_granules(df, "event_id", zone_map(df, "event_id", ["event_id"]), [0, 3, 4])
+
+
 # Inserts.
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its nodes see")
+        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -233,6 +258,60 @@ def _multipart(s, d):
     return t.scan()
 
 
+@_query("insert_order_in_part", "SELECT row_number() OVER (ORDER BY n_regionkey, n_name) - 1 AS place, n_regionkey AS r, n_name AS name FROM nation")
+def _order_in_part(s, d):
+    """Where each row lies in its part: by the sort key, of two columns."""
+    t = Table.create(s, _folder(s), TableDef("t", (("r", D.I32), ("name", D.STR)), (0, 1)))
+    t.insert_frame(_read(s, d, "nation").select(F.col("n_regionkey").cast("int").alias("r"), F.col("n_name").alias("name")), parts=1)
+    return s.read.schema(t.definition.spark).parquet(t.data).select(F.col("_metadata.row_index").alias("place"), "r", "name")
+
+
+# Statements.
+def _engine(spark: SparkSession, sf: str, *tables: str) -> Engine:
+    engine = Engine(spark)
+    for t in tables:
+        engine.register(t, _read(engine.spark, sf, t))
+    return engine
+
+
+def _statement(name: str, text: str, *tables: str, oracle: str | None = None) -> None:
+    _query(name, oracle or text)(lambda s, d: _engine(s, d, *tables).sql(text))
+
+
+_statement("sql_star", "SELECT * FROM nation", "nation")
+_statement("sql_columns", "SELECT value, event_id AS id, value AS again FROM events", "events")
+_statement("sql_where", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity < 5 AND NOT l_returnflag = 'N') OR 0.09 <= l_discount AND l_linestatus <> 'F'", "lineitem")
+_statement("sql_aggregates", "SELECT COUNT(*) AS n, MIN(value) AS low, MAX(value) AS high, COUNT(value) AS m FROM events WHERE event_type != 'click'", "events")
+_statement("sql_default_names", "SELECT event_type, COUNT(*), MAX(value) FROM events GROUP BY event_type", "events", oracle='SELECT event_type, count(*) AS "count(*)", max(value) AS "max(value)" FROM events GROUP BY event_type')
+_statement("sql_empty_defaults", "SELECT SUM(value) AS total, AVG(value) AS mean, MIN(user_id) AS low, MAX(value) AS high, COUNT(*) AS n FROM events WHERE event_id < -1", "events", oracle="SELECT 0.0::DOUBLE AS total, 0.0::DOUBLE AS mean, 0::BIGINT AS low, 0.0::DOUBLE AS high, 0::BIGINT AS n")
+_statement("sql_group_by", "SELECT SUM(l_linenumber) AS total, l_returnflag FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag, l_linestatus", "lineitem", oracle="SELECT CAST(sum(l_linenumber) AS BIGINT) AS total, l_returnflag FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag, l_linestatus")
+_statement("sql_order_offset", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, 1 LIMIT 15 OFFSET 7", "orders")
+_statement("sql_join", "SELECT n.n_name AS nation, count(*) AS customers FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "customer", "nation")
+_statement("sql_left_join", "SELECT r.r_name AS region, c.c_custkey AS customer FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000", "region", "nation", "customer")
+_statement("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
+_statement("sql_cube", "SELECT l_returnflag, l_linestatus, max(l_quantity) AS most FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
+_statement("sql_having", "SELECT l_orderkey, sum(l_quantity) AS total FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200", "lineitem")
+_statement("sql_with", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10) SELECT c_name, n FROM big JOIN customer ON c_custkey = o_custkey", "orders", "customer")
+_statement("sql_over", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events", "events", oracle="SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS nth, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events")
+_statement("sql_filter_clause", "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) AS n FROM events GROUP BY event_type", "events")
+_statement("sql_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", "orders")
+_statement("sql_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region", "nation", "region")
+
+
+@_query("sql_insert_values", "SELECT * FROM (VALUES (0, 1, 10, false, 'a'), (1, 2, 20, true, 'it''s'), (2, 3, 30, false, ''), (3, 3, 40, true, 'z'), (4, 5, 50, true, 'é')) AS t(place, ts, uid, ok, tag)")
+def _insert_values(s, d):
+    """Three inserts, rows out of order; equal keys keep their order within a part."""
+    engine = Engine(s)
+    t = Table.create(engine.spark, _folder(s), TableDef("t", (("ts", D.I64), ("uid", D.U32), ("ok", D.BOOL), ("tag", D.STR)), (0,)))
+    engine.attach(t.folder)
+    engine.sql("INSERT INTO t VALUES (3, 30, false, ''), (3, 40, true, 'z'), (1, 10, false, 'a')")
+    engine.sql("INSERT INTO t (uid, ts, tag, ok) VALUES (20, 2, 'it''s', TRUE)")
+    engine.sql("INSERT INTO t VALUES (5, 50, true, 'é');")
+    rows = engine.spark.read.schema(t.definition.spark).parquet(t.data).select("ts", "uid", "ok", "tag", F.col("_metadata.row_index").alias("at"))
+    first = F.when(F.col("ts").isin(1, 3), F.when(F.col("at") == 0, 0).otherwise(F.col("at") + 1)).when(F.col("ts") == 2, 1).otherwise(4)
+    return rows.select(first.cast("int").alias("place"), F.col("ts").cast("int").alias("ts"), F.col("uid").cast("int").alias("uid"), "ok", "tag")
+
+
 # Clauses beyond the model: plain Spark semantics.
 _query("having", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 100")(lambda s, d: group(_read(s, d, "events"), ["event_type"], [Agg("count", "*", "n")]).filter("n > 100"))
 _query("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda s, d: _read(s, d, "lineitem").select("l_returnflag", "l_linestatus").distinct())

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.sources.schema import TableDef, exists, read_definition, write_definition
 from larkspur.sources.validate import checked, checked_frame
@@ -28,7 +29,9 @@ class Table:
 
     @staticmethod
     def open(spark: SparkSession, folder: str) -> Table:
-        return Table(spark, folder, read_definition(spark, folder))
+        table = Table(spark, folder, read_definition(spark, folder))
+        table._recover()
+        return table
 
     @property
     def data(self) -> str:
@@ -41,17 +44,26 @@ class Table:
         df = df.select(*(F.col(f.name).alias(f.name, metadata=f.metadata) for f in schema))
         return df if columns is None else df.select(*(f"`{c}`" for c in columns))
 
+    def _write(self, df: DataFrame, folder: str, mode: str) -> None:
+        """lz4_raw pages; integers delta-coded (pages of the second version, no dictionary for them)."""
+        out = df.write.mode(mode).option("compression", "lz4_raw").option("parquet.writer.version", "PARQUET_2_0")
+        for f in df.schema:
+            if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+                out = out.option(f"parquet.enable.dictionary#{f.name}", "false")
+        out.parquet(folder)
+
     def _append(self, df: DataFrame) -> None:
         keys = self.definition.sort_columns
-        ordered = df.sortWithinPartitions(*keys) if keys else df
-        # lz4_raw blocks and delta-coded integers, as in the parts this table replaces.
-        ordered.write.mode("append").option("compression", "lz4_raw").parquet(self.data)
+        self._write(df.sortWithinPartitions(*keys) if keys else df, self.data, "append")
 
     def insert(self, rows: Sequence[Sequence], columns: Sequence[str] | None = None) -> int:
-        """Append rows as one part, all of them or none; returns how many."""
+        """Append rows as one part, all of them or none; returns how many. Rows with equal keys keep their order."""
         good = checked(self.definition, rows, columns)
         if good:
-            self._append(self.spark.createDataFrame(good, self.definition.spark).coalesce(1))
+            schema, keys = self.definition.spark, self.definition.sort_columns
+            numbered = T.StructType([*schema.fields, T.StructField("__place", T.LongType())])
+            df = self.spark.createDataFrame([(*r, i) for i, r in enumerate(good)], numbered).coalesce(1)
+            self._write(df.sortWithinPartitions(*keys, "__place").drop("__place"), self.data, "append")
         return len(good)
 
     def insert_frame(self, df: DataFrame, parts: int | None = None) -> None:
@@ -73,13 +85,45 @@ class Table:
         return self.spark.read.schema(self.definition.spark).parquet(self.data).select("*", F.col("_metadata.file_name").alias("part"))
 
     def compact(self, parts: int = 1) -> None:
-        """Rewrite all parts as so many ranges of the sort key; the old files go once the new ones are written."""
+        """Rewrite all parts as so many ranges of the sort key.
+
+        The new folder is written whole, the old one is renamed away, the new one is renamed in and
+        the old one deleted. What a crash leaves in between, `open` puts right; readers that start
+        between the two renames fail and must read again.
+        """
         keys = self.definition.sort_columns
         df = self.scan()
-        df = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys) if keys else df.repartition(parts))
-        fresh = f"{self.folder}/data-new"
-        df.write.mode("overwrite").option("compression", "lz4_raw").parquet(fresh)
-        p = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = p(self.data).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(p(self.data), True)
-        fs.rename(p(fresh), p(self.data))
+        df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys) if keys else df.repartition(parts)
+        self._write(df, self._fresh, "overwrite")
+        self._rename(self.data, self._old)
+        self._rename(self._fresh, self.data)
+        self._delete(self._old)
+
+    @property
+    def _fresh(self) -> str:
+        return f"{self.folder}/data-new"
+
+    @property
+    def _old(self) -> str:
+        return f"{self.folder}/data-old"
+
+    def _path(self, folder: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _rename(self, a: str, b: str) -> None:
+        (p, fs), (q, _) = self._path(a), self._path(b)
+        if not fs.rename(p, q):
+            raise OSError(f"can't rename {a} to {b}")
+
+    def _delete(self, folder: str) -> None:
+        p, fs = self._path(folder)
+        fs.delete(p, True)
+
+    def _recover(self) -> None:
+        """After a crash in `compact`: all rows are in data, or else in data-old."""
+        if exists(self.spark, self._old):
+            if exists(self.spark, self.data):
+                self._delete(self._old)
+            else:
+                self._rename(self._old, self.data)

@@ -4,6 +4,7 @@ import math
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import codecs, sketches
@@ -11,7 +12,7 @@ from larkspur.functions.aggregates import Agg, AggregateError
 from larkspur.functions.predicates import PredicateError, any_of, compare
 from larkspur.functions.types import DeclaredType as D
 from larkspur.functions.types import field
-from larkspur.operators.ordering import numbered, zone_map
+from larkspur.operators.ordering import numbered, read_granules, zone_map
 from larkspur.operators.relational import aggregate, group, keep, project
 from larkspur.plans.sql import Engine, SqlError
 from larkspur.sources.schema import TableDef
@@ -191,3 +192,90 @@ def test_entry_without_llm():
 
     code = "import builtins; real = builtins.__import__\ndef f(n, *a, **k):\n    if n == 'corpus_pipeline': raise ModuleNotFoundError(name=n)\n    return real(n, *a, **k)\nbuiltins.__import__ = f\nimport __spark_entry__ as e; assert 'scan_all' in e.queries() and not any(k.startswith('op1') for k in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parent.parent)).returncode == 0
+
+
+def _events(spark, tmp_path, *inserts):
+    engine = Engine(spark)
+    t = Table.create(engine.spark, f"file://{tmp_path}/t", TableDef("events", (("ts", D.I64), ("uid", D.U32), ("ok", D.BOOL), ("x", D.F64)), (0,)))
+    engine.attach(t.folder)
+    for i in inserts:
+        engine.sql(i)
+    return engine, t
+
+
+def test_sql_over_parts(spark, tmp_path):
+    rows = ["INSERT INTO events VALUES (1, 10, false, 1.5), (2, 20, true, 2)", "INSERT INTO events VALUES (3, 30, false, -1), (4, 40, true, 0)", "INSERT INTO events VALUES (5, 50, true, 7), (6, 60, false, 8)"]
+    engine, t = _events(spark, tmp_path, *rows)
+    assert t.parts().count() == 3
+    get = lambda q: [tuple(r) for r in engine.sql(q).collect()]
+    assert sorted(get("SELECT ts FROM events WHERE ts > 3")) == [(4,), (5,), (6,)]
+    assert get("SELECT * FROM events WHERE uid = 10 AND ok = false") == [(1, 10, False, 1.5)]
+    assert get("SELECT sum(x), max(x), count(*), avg(uid), min(ts) FROM events WHERE ts > 50") == [(0.0, 0.0, 0, 0.0, 0)]
+    assert sorted(get("SELECT count(*) AS n, ok, ok FROM events GROUP BY ok")) == [(3, False, False), (3, True, True)]
+    assert get("SELECT uid AS u FROM events WHERE NOT (ts < 3 OR 4 < ts) ORDER BY x DESC LIMIT 1 OFFSET 1") == [(30,)]
+    assert get("SELECT max(x) FROM events HAVING count(*) > 100") == [] and get("SELECT upper('a') AS a") == [("A",)]
+    assert engine.sql("SELECT ok, max(x) FROM events GROUP BY ok").columns == ["ok", "max(x)"]
+
+
+@pytest.mark.parametrize(
+    "text", ["SELECT sum(ok) FROM events", "SELECT ts, count(*) FROM events", "SELECT ts, count(*) FROM events GROUP BY uid", "SELECT nothing FROM events", "SELECT ts FROM nowhere", "SELECT ts FROM events WHERE ts = 'a'", "SELECT max(*) FROM events", "SELECT 'abc", "SELECT ts FROM events; SELECT ts FROM events", " ; ", "SELECT ts FROM events WHERE nothing = 1"]
+)
+def test_sql_refuses(spark, tmp_path, text):
+    engine, _ = _events(spark, tmp_path)
+    with pytest.raises(ValueError):
+        engine.sql(text)
+
+
+def test_equal_keys_keep_their_order(spark, tmp_path):
+    rows = ", ".join(f"({i % 3}, {i}, true, 0)" for i in range(300))
+    _, t = _events(spark, tmp_path, f"INSERT INTO events VALUES {rows}")
+    got = [(r.ts, r.uid) for r in t.spark.read.schema(t.definition.spark).parquet(t.data).orderBy("_metadata.row_index").collect()]
+    assert got == sorted(got) and len(got) == 300
+
+
+def test_integers_are_delta_coded(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    t = Table.create(spark, f"file://{tmp_path}/t", TableDef("t", (("a", D.I64), ("b", D.I32), ("c", D.I16), ("d", D.U8), ("e", D.U32), ("s", D.STR)), (0,)))
+    df = spark.range(200_000).select(F.col("id").alias("a"), F.col("id").cast("int").alias("b"), (F.col("id") % 100).cast("short").alias("c"), (F.col("id") % 200).cast(D.U8.spark).alias("d"), F.col("id").cast(D.U32.spark).alias("e"), F.lit("x").alias("s"))
+    for compact in (False, True):
+        t.compact() if compact else t.insert_frame(df, parts=1)
+        (file,) = glob.glob(f"{tmp_path}/t/data/*.parquet")
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        for i in range(5):
+            c = group.column(i)
+            assert "DELTA_BINARY_PACKED" in c.encodings and c.compression == "LZ4", (c.path_in_schema, c.encodings)
+        assert group.column(0).total_compressed_size < 200_000
+        assert t.scan().agg(F.sum("a"), F.max("e")).first() == (sum(range(200_000)), 199_999)
+
+
+def test_compaction_survives_crashes(spark, tmp_path):
+    import os
+
+    engine, t = _events(spark, tmp_path, "INSERT INTO events VALUES (1, 10, false, 1), (2, 20, true, 2)", "INSERT INTO events VALUES (3, 30, false, 3)")
+    data, old, new = (f"{tmp_path}/t/{n}" for n in ("data", "data-old", "data-new"))
+    t._write(t.scan(), t._fresh, "overwrite")
+    os.rename(data, old)  # the crash is before the second rename
+    again = Table.open(engine.spark, t.folder)
+    assert again.scan().count() == 3 and not os.path.exists(old)
+    again.compact()
+    assert again.scan().count() == 3 and again.parts().count() == 1 and not os.path.exists(old) and not os.path.exists(new)
+    os.mkdir(old)  # the crash is before the delete
+    assert Table.open(engine.spark, t.folder).scan().count() == 3 and not os.path.exists(old)
+
+
+def test_numbered_over_parts(spark):
+    df = spark.createDataFrame([(i % 50 if i % 7 else None, i) for i in range(3000)], "k int, v int")
+    got = [(r.k, r.row) for r in numbered(df, "k", part_rows=200).collect()]
+    assert sorted(r for _, r in got) == list(range(3000))
+    keys = [k for k, _ in sorted(got, key=lambda g: g[1])]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
+def test_read_granules(spark):
+    df = spark.range(5000).select((F.col("id") * 3).alias("k"), F.col("id").alias("v"))
+    got = read_granules(df, "k", zone_map(df, "k", ["k"]), [1, 9])
+    assert sorted(r.v for r in got.collect()) == [*range(512, 1024), *range(4608, 5000)]
+    assert read_granules(df, "k", zone_map(df, "k", ["k"]), [99]).count() == 0
