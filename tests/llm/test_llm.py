@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import zipfile
 import zlib
@@ -86,15 +87,46 @@ def test_sharding(docs, rows, none):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def _drawn(key, tree):
+    """The shard of a key: the draws computed again, level by level."""
+    low = {}
+    for s in tree.shards:
+        if s.weight > 0:
+            u = (int(hashlib.md5(f"{'null' if key is None else key}:{s.shard}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            low.setdefault(s.region, {}).setdefault(s.rack, []).append((-math.log(u) / s.weight, s.shard))
+    return min(min(min(shards) for shards in racks.values()) for racks in low.values())[1]
+
+
 def test_sharding_moves(spark):
-    ids = spark.range(20_000)
+    ids = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
     tree = sharding.layout(40)
-    at = lambda t: {r.id: r.shard for r in sharding.assign(ids, t, "id").collect()}
-    base, heavier = at(tree), at(tree.reweighted(3, 2.0))
-    assert max(Counter(base.values()).values()) < 700 and len(set(base.values())) == 40
-    moved = {heavier[i] for i in base if base[i] != heavier[i]}
-    assert moved and all(s < 10 for s in moved)  # only into the region whose weight rose
-    assert {at(tree.reweighted(3, 0.0))[i] for i in range(200)} <= set(range(40)) - {3}
+    heavy, gone = tree.reweighted(3, 2.0), tree.reweighted(3, 0.0)
+    rows = sharding.assign(ids, "id", base=tree, heavy=heavy, gone=gone, grown=tree.grown(), seven=sharding.layout(7)).collect()
+    for r in rows[:300]:
+        assert (r.base, r.heavy, r.gone, r.seven) == tuple(_drawn(r.id, t) for t in (tree, heavy, gone, sharding.layout(7)))
+    assert max(Counter(r.base for r in rows).values()) < 700 and len({r.base for r in rows}) == 40
+    # Only the shard whose weight changes takes or gives rows.
+    assert {r.heavy for r in rows if r.heavy != r.base} == {3} and 850 < sum(r.heavy == 3 for r in rows) < 1100
+    assert {r.base for r in rows if r.gone != r.base} == {3} and {r.grown for r in rows if r.grown != r.base} == {40}
+
+
+def test_layouts_grow(spark):
+    for n in range(1, 101):
+        assert sharding.layout(n).grown() == sharding.layout(n + 1)
+    docs = frame(spark, [(i, f"text {i % 7}") for i in range(500)])
+    for n in (1, 9, 10, 41):
+        a, b = (sorted(sharding.op1(docs, k).collect(), key=lambda r: r.doc_id) for k in (n, n + 1))
+        assert [r.grown_shard for r in a] == [r.shard for r in b]
+        assert all(r.grown_shard in (r.shard, n) for r in a)
+
+
+def test_many_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    docs = frame(spark, [(None, f"text {i}") for i in range(300)] + [(5, "x")] * 100)
+    slots = defaultdict(list)
+    for r in sharding.op1(docs, 2).collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(n for s in slots.values() for n in s) == sorted(n for s in slots.values() for n in range(len(s)))
 
 
 def test_repeats(docs, rows, none):
