@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.OP1_SQL, "op10_warc_zip": warc_zip.OP10_SQL}
