@@ -367,7 +367,29 @@ def test_packing(docs, rows, none):
     assert packing.op8(none).count() == 0
 
 
-def test_vectors(spark):
+def test_recall_of_projections(spark):
+    """Pairs just at the threshold, which are the hardest: at least 0.99 of them are found, and nothing below it."""
+    r = np.random.default_rng(11)
+    a = r.standard_normal((3000, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = r.standard_normal((3000, 32))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    for cosine, least, most in ((0.9501, 0.99, 1.0), (0.9499, 0.0, 0.0)):
+        x = np.concatenate([a, cosine * a + math.sqrt(1 - cosine**2) * b])
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(6)
+        assert least <= embedding_dedup.near_vectors(df).agg(F.sum("n_links")).first()[0] / 6000 <= most
+
+
+def test_one_id_for_many_vectors(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(1 if i % 3 else i, v) for i, v in enumerate(r.standard_normal((3000, 8)).tolist())], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_vectors(df)
+    (component,) = {g.component_id for g in got.filter("vec_id = 1").collect()}  # one node
+    assert got.count() == 3000 and component <= 1
+
+
+def test_vectors(spark, monkeypatch):
     r = np.random.default_rng(8)
     centres = r.standard_normal((60, 16))
     x = [(centres[r.integers(60)] + 0.1 * r.standard_normal(16)).astype(float).tolist() for _ in range(900)]
@@ -388,6 +410,9 @@ def test_vectors(spark):
     assert sum(got[i].component_id == u.find(i) for i in ids) >= 0.99 * len(ids) and all(got[i].kept == (got[i].component_id == i) for i in ids)
     assert got[None].n_links == 0 and not got[None].kept
     same(embedding_dedup.near_vectors(df, chunk=8).collect(), [tuple(g) for g in got.values()])  # cells in many shares
+    monkeypatch.setattr(embedding_dedup, "FULL", 20)
+    again = {g.vec_id: g for g in embedding_dedup.near_vectors(df, chunk=8).collect()}  # full cells, all of whose vectors are verified
+    assert all(got[i].n_links <= again[i].n_links <= links[i] for i in ids)
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
