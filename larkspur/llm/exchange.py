@@ -16,16 +16,18 @@ U = np.uint64
 
 
 def bucket_bits(n_blocks: int) -> int:
-    """As many buckets as blocks, as a power of two, 64 at least."""
-    return max(6, (n_blocks - 1).bit_length())
+    """A quarter as many buckets as blocks, as a power of two, 64 at least."""
+    return max(6, (-(-n_blocks // 4) - 1).bit_length())
 
 
 def split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, first, end) for the buckets that sorted 64-bit keys fall in, by their top bits."""
-    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits))
-    edges = np.append(edges, len(keys))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]):
-        yield int(b), int(edges[b]), int(edges[b + 1])
+    if not len(keys):
+        return
+    top = keys >> U(64 - bits)
+    edges = np.append(np.append(0, np.flatnonzero(top[1:] != top[:-1]) + 1), len(keys))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        yield int(top[lo]), int(lo), int(hi)
 
 
 def short(keys: np.ndarray, bits: int) -> bytes:

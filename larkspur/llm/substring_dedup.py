@@ -1,22 +1,33 @@
 """Suffix-array dedup: prefix doubling over the positions of all documents.
 
 A byte is removed if a string of `length` bytes that covers it also starts in a document with a
-smaller id. Ranks of strings come by prefix doubling: the rank of 2k bytes at a position is that
-of the pair of k-byte ranks at it and k further on. Spark sorts ranks at two offsets:
+smaller id. The rank of a string is that of the pair of its halves' ranks, as in prefix doubling,
+from 8 bytes (their value) to 16, 32 and `length`. In each round Spark sorts the ranks of all
+positions that are left by buckets of the rank, and what the round decides leaves: positions whose
+rank is one document's only, and positions that are past the threshold.
 
-1. 16 bytes. Of each `length`-byte window, only the position with the least rank takes part;
-   equal windows choose the same one, so nothing is missed. Ranks found in one document only are
-   unique and leave the sort.
-2. `length` bytes, for the windows around the ranks that are left. The smallest document of each
-   window decides.
+All positions don't fit a round: at 4 bytes to ask and more to sort, each would be over 4 times the
+input. Of each `length`-byte window only the position with the least 16-byte rank, its anchor, takes
+part; equal windows have equal anchors, so nothing is missed, and there is about one anchor in 18 bytes.
 
-Documents are dealt to blocks by id. In a block each rank, and each context of a rank, is sent
-once, so a passage in a third of all documents costs a bucket one entry a block.
+1. 16 bytes at the anchors. Anchors whose rank is one document's leave.
+2. Whole contexts: the string from an anchor's first window to the end of its last, by the pair of
+   the two windows' ranks. Where a smaller document holds the same, all windows are removed and the
+   anchor leaves; the smallest document's stay.
+3. 32 bytes, at the anchor and 16 before it: each window holds one of the two. What is one
+   document's only leaves, and with it the inside of every passage that is the same wherever it is.
+4. `length` bytes, for the windows that are left. The smallest document of each keeps it.
+
+Rounds 2 and 4 decide by ranks of 128 bits, from two independent series of pairs. Documents are dealt
+to blocks by id. A block sends each rank once in a round, packed, with its smallest document, so a
+passage in a third of all documents costs a bucket one entry a block; buckets are dealt by mixed
+ranks. A block's anchors are found anew in each round: that costs CPU, where keeping them would cost disk.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +37,54 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exchange as X
 from larkspur.llm import hashing as H
-from larkspur.llm.common import block_count, blocked, text_bytes
+from larkspur.llm.common import block_count, blocked, lean, text_bytes, union_all
 
 U = np.uint64
-FIRST = 16
+FIRST, MIDDLE = 16, 32
 CHUNK = 1 << 16
-LAGS = 12
 LAST_ID = np.iinfo(np.int64).max
 
 
+def pair(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """The rank of two strings, one after the other or overlapping; lane: one of two series."""
+    return H.mix(a * H.ODD[50 + 2 * lane] + b * H.ODD[51 + 2 * lane])
+
+
+def _groups(*names: np.ndarray) -> np.ndarray:
+    """Where the groups of equal names begin in sorted arrays."""
+    if not len(names[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(names[0]) - 1, bool)
+    for x in names:
+        new |= x[1:] != x[:-1]
+    return np.append(0, np.flatnonzero(new) + 1)
+
+
+class _Ask:
+    """Sorted distinct ranks of a round: 64 bits, and for a decision 64 more and the smallest document of each."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, check: np.ndarray | None = None):
+        self.order = np.lexsort((ids, first) if check is None else (ids, check, first))
+        name, ids = first[self.order], ids[self.order]
+        self.heads = _groups(name) if check is None else _groups(name, check[self.order])
+        self.group = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(name))))
+        self.keys, self.least = name[self.heads], ids[self.heads]
+        self.check = None if check is None else check[self.order][self.heads]
+        self.several = (np.maximum.reduceat(ids, self.heads) != self.least) if len(ids) else np.zeros(0, bool)
+
+    def rows(self, bits: int) -> Iterator[tuple]:
+        for b, lo, hi in X.split(self.keys, bits):
+            more = H.pack_bits(self.several[lo:hi]) if self.check is None else self.check[lo:hi].tobytes() + self.least[lo:hi].tobytes()
+            yield b, X.short(self.keys[lo:hi], bits), more
+
+    def told(self, replies: dict[int, bytes], bits: int) -> np.ndarray:
+        """The reply to each rank."""
+        out = np.zeros(len(self.keys), bool)
+        for b, lo, hi in X.split(self.keys, bits):
+            out[lo:hi] = H.unpack_bits(replies[b], hi - lo)
+        return out
+
+
 class _Block:
     """The documents of a block as one buffer, and the anchors of their windows."""
 
@@ -43,233 +93,188 @@ class _Block:
         raw = [(LAST_ID if i is None else i, i, t.encode()) for i, t in zip(ids, texts.column("text").to_pylist(), strict=True)]
         raw.sort(key=lambda r: (r[0], r[2]))
         self.length, self.docs = length, raw
-        self.sizes = np.array([len(r[2]) for r in raw], dtype=np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
+        self.ends = np.cumsum(np.array([len(r[2]) for r in raw], dtype=np.int64))
+        self.starts = self.ends - [len(r[2]) for r in raw]
         self.buf = np.frombuffer(b"".join(r[2] for r in raw), dtype=np.uint8)
-        self.keys = np.array([r[0] for r in raw], dtype=np.int64)
+        self.view = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.buf, np.zeros(8, np.uint8)]), 8)
+        self.half = min(MIDDLE, (length + FIRST + 1) // 2)
         self._anchors()
+        self.ids = np.array([r[0] for r in raw], dtype=np.int64)[np.searchsorted(self.ends, self.pos, side="right")]
+        self.gone = [np.zeros((0, 2), np.int64)]  # first and last starts of removed windows
 
     def _anchors(self) -> None:
-        """Positions with the least 16-byte rank of a window, sorted by rank; width: windows a position may serve."""
-        length, self.width = self.length, self.length - FIRST + 1
-        at, rank, n, edge = [], [], len(self.buf), 0
-        overlap = length + self.width
+        """pos: positions with the least 16-byte rank of a window; low, high: the first and last of these windows."""
+        length, n, edge, found = self.length, len(self.buf), 0, []
+        width = length - FIRST + 1
         while edge < n:
-            end = min(n, edge + CHUNK + overlap)
-            part = self.buf[edge:end]
-            if len(part) >= length:
-                ranks = H.string_ranks(part, FIRST)
-                top = (ranks >> U(32)).astype(np.uint32) | np.uint32(1)
-                least = H.sliding(top, self.width, np.minimum)
+            end = min(n, edge + CHUNK + length + width)
+            last = end == n
+            if end - edge >= length:
+                word = np.ascontiguousarray(self.view[edge : end - 7]).view("<u8").ravel()
+                rank = pair(word[:-8], word[8:], 0)
+                top = (rank >> U(32)).astype(np.uint32) | np.uint32(1)
+                least = H.sliding(top, width, np.minimum)
                 # Windows that a document's end cuts don't count.
-                first, last = np.searchsorted(self.ends, [edge, edge + len(least) - 1], side="right")
-                for stop in self.ends[first : last + 1]:
+                a, z = np.searchsorted(self.ends, [edge, edge + len(least) - 1], side="right")
+                for stop in self.ends[a : z + 1]:
                     least[max(0, stop - length + 1 - edge) : max(0, stop - edge)] = 0
-                padded = np.concatenate([np.zeros(self.width - 1, np.uint32), least, np.zeros(self.width - 1, np.uint32)])
-                most = H.sliding(padded, self.width, np.maximum)
-                found = np.flatnonzero(most == top[: len(most)])
-                at.append(found + edge)
-                rank.append(ranks[found])
-            if end == n:
+                padded = np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)])
+                at = np.flatnonzero(H.sliding(padded, width, np.maximum) == top[: len(least) + width - 1])
+                at = at[(at >= (width - 1 if edge else 0)) & (last | (at < CHUNK + width - 1))]  # each with all its windows
+                start = at[:, None] + np.arange(1 - width, 1)[None, :]
+                mine = (padded[start + width - 1] == top[at][:, None]) & (start < len(least))
+                low, high = at - (width - 1) + mine.argmax(axis=1), at - mine[:, ::-1].argmax(axis=1)
+                found.append(np.stack([at, low, high]) + edge)
+            if last:
                 break
             edge += CHUNK
-        pos = np.concatenate(at) if at else np.zeros(0, np.int64)
-        rank = np.concatenate(rank) if rank else np.zeros(0, U)
-        pos, one = np.unique(pos, return_index=True)
-        rank = rank[one]
-        order = np.argsort(rank, kind="stable")
-        self.pos, self.rank = pos[order], rank[order]
-        self.doc = np.searchsorted(self.ends, self.pos, side="right")
-        self.heads = np.flatnonzero(np.append(True, self.rank[1:] != self.rank[:-1])) if len(self.rank) else np.zeros(0, np.int64)
-
-    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct ranks, and whether two documents of the block hold them."""
-        if not len(self.rank):
-            return self.rank, np.zeros(0, bool)
-        ids = self.keys[self.doc]
-        return self.rank[self.heads], np.minimum.reduceat(ids, self.heads) != np.maximum.reduceat(ids, self.heads)
-
-    def contexts(self, repeated: np.ndarray) -> None:
-        """Bytes around the anchors whose rank is repeated, and which anchors have equal ones."""
-        size = np.diff(np.append(self.heads, len(self.rank)))
-        keep = np.flatnonzero(np.repeat(repeated, size))
-        self.pos, self.rank, self.doc = self.pos[keep], self.rank[keep], self.doc[keep]
-        w, length = self.width - 1, self.length
-        self.left = np.minimum(self.pos - self.starts[self.doc], w).astype(np.uint8)
-        self.right = np.minimum(self.ends[self.doc] - self.pos, length).astype(np.uint8)
-        mark = np.zeros(len(self.pos), dtype=U)
-        for lo in range(0, len(keep), 4_000):
-            c = self.context(slice(lo, lo + 4_000))
-            mark[lo : lo + 4_000] = (H.BYTE[c] * H.powers(c.shape[1])).sum(axis=1, dtype=U)
-        mark = H.mix(mark + self.left.astype(U) * H.ODD[30] + self.right.astype(U) * H.ODD[31]) + self.rank * H.ODD[32]
-        order = np.lexsort((self.keys[self.doc], mark, self.rank))
-        self.pos, self.rank, self.doc, self.left, self.right, mark = (x[order] for x in (self.pos, self.rank, self.doc, self.left, self.right, mark))
-        new = np.append(True, (mark[1:] != mark[:-1]) | (self.rank[1:] != self.rank[:-1])) if len(mark) else np.zeros(0, bool)
-        self.heads, self.group = np.flatnonzero(new), np.cumsum(new) - 1
-
-    def context(self, which) -> np.ndarray:
-        """The bytes from width - 1 before each anchor to length after it; 0 outside the document."""
-        span = np.arange(1 - self.width, self.length)
-        at = self.pos[which, None] + span[None, :]
-        inside = (span >= -self.left[which, None].astype(int)) & (span < self.right[which, None].astype(int))
-        return np.where(inside, self.buf[np.clip(at, 0, max(0, len(self.buf) - 1))], 0).astype(np.uint8)
-
-
-def _repeated(block: _Block, replies: pa.Table, bits: int) -> np.ndarray:
-    keys, _ = block.ranks()
-    got = {b: data for b, data in X.rows(replies, "bucket", "bits")}
-    out = np.zeros(len(keys), dtype=bool)
-    for b, lo, hi in X.split(keys, bits):
-        out[lo:hi] = H.unpack_bits(got[b], hi - lo)
-    return out
+        self.pos, self.low, self.high = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+
+    def _keep(self, which: np.ndarray) -> None:
+        self.pos, self.low, self.high, self.ids = (x[which] for x in (self.pos, self.low, self.high, self.ids))
+
+    def rank(self, at: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+        """The rank of the n bytes at some positions: 8 bytes by value, more by pairs of halves."""
+        if n == 8:
+            return np.ascontiguousarray(self.view[at]).view("<u8").ravel()
+        half = 8
+        while 2 * half < n:
+            half *= 2
+        return pair(self.rank(at, half, lane), self.rank(at + (n - half), half, lane), lane)
+
+    # The rounds: each takes the replies to the one before.
+
+    def firsts(self) -> _Ask:
+        return _Ask(self.ids, H.mix(self.rank(self.pos, FIRST) + H.GOLD))
 
+    def contexts(self, ask: _Ask, repeated: np.ndarray) -> _Ask:
+        self._keep(np.sort(ask.order[repeated[ask.group]]))
+        place = (self.high - self.low).astype(U) * H.ODD[54] + (self.pos - self.low).astype(U) * H.ODD[55]
+        names = [H.mix(pair(self.rank(self.low, self.length, k), self.rank(self.high, self.length, k), k) + place) for k in (0, 1)]
+        return _Ask(self.ids, *names)
 
-def _covered(block: _Block, masks: np.ndarray) -> np.ndarray:
-    """Of each byte of the buffer, whether a window that starts in a smaller document covers it."""
-    edge = np.zeros(len(block.buf) + 1, dtype=np.int32)
-    if len(block.pos):
-        ids = block.keys[block.doc]
-        later = ids > ids[block.heads][block.group]
-        mask = np.where(later, U(2**64 - 1), masks[block.group])
-        starts = []
-        for j in range(block.width):
-            ok = ((mask >> U(j)) & U(1)).astype(bool) & (block.width - 1 - j <= block.left) & (block.length - (block.width - 1 - j) <= block.right)
-            starts.append(block.pos[ok] - (block.width - 1) + j)
-        start = np.unique(np.concatenate(starts))
-        edge[start] += 1
-        edge[start + block.length] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    def halves(self, ask: _Ask, smaller: np.ndarray) -> _Ask:
+        later = np.zeros(len(self.pos), bool)
+        later[ask.order] = smaller[ask.group] | (self.ids[ask.order] > ask.least[ask.group])
+        self.gone.append(np.stack([self.low[later], self.high[later]], axis=1))
+        self._keep(np.flatnonzero(~later))
+        # Windows that start up to `reach` before the anchor hold the bytes after it, the others those around it.
+        self.reach = self.length - self.half
+        self.right, self.left = np.flatnonzero(self.pos - self.high <= self.reach), np.flatnonzero(self.pos - self.low > self.reach)
+        names = [self.rank(self.pos[self.right], self.half), H.mix(self.rank(self.pos[self.left] - (self.half - FIRST), self.half) + U(1))]
+        return _Ask(np.concatenate([self.ids[self.right], self.ids[self.left]]), np.concatenate(names))
+
+    def windows(self, ask: _Ask, repeated: np.ndarray) -> _Ask:
+        again = np.zeros(len(ask.order), bool)
+        again[ask.order] = repeated[ask.group]
+        r, k = self.right[again[: len(self.right)]], self.left[again[len(self.right) :]]
+        first = np.concatenate([np.maximum(self.low[r], self.pos[r] - self.reach), self.low[k]])
+        last = np.concatenate([self.high[r], np.minimum(self.high[k], self.pos[k] - self.reach - 1)])
+        n = last - first + 1
+        self.at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.at_ids = np.repeat(np.concatenate([self.ids[r], self.ids[k]]), n)
+        return _Ask(self.at_ids, *(H.mix(self.rank(self.at, self.length, k) + U(2)) for k in (0, 1)))
+
+    def removed(self, ask: _Ask, smaller: np.ndarray) -> np.ndarray:
+        """Of each byte of the buffer, whether a window that a smaller document holds covers it."""
+        later = ask.order[smaller[ask.group] | (self.at_ids[ask.order] > ask.least[ask.group])]
+        every = np.concatenate([*self.gone, np.stack([self.at[later]] * 2, axis=1)])
+        edge = np.zeros(len(self.buf) + 1, dtype=np.int32)
+        np.add.at(edge, every[:, 0], 1)
+        np.add.at(edge, every[:, 1] + self.length, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    def ask(self, rounds: int, replies: pa.Table, bits: int) -> tuple[_Ask, dict[int, bytes]]:
+        """The ranks of the given round, from the replies to all before it, and the replies to them, if there are any yet."""
+        got: dict[int, dict[int, bytes]] = {}
+        for k, b, data in X.rows(replies, "round", "bucket", "bits"):
+            got.setdefault(k, {})[b] = data
+        ask = self.firsts()
+        for k, step in enumerate((self.contexts, self.halves, self.windows)[:rounds]):
+            ask = step(ask, ask.told(got.get(k, {}), bits))
+        return ask, got.get(rounds, {})
+
+
+def _judge_repeats(keys: list[np.ndarray], more: list[bytes]) -> np.ndarray:
+    """Whether two documents hold each rank."""
+    several = np.concatenate([H.unpack_bits(f, len(k)) for k, f in zip(keys, more, strict=True)])
+    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    again = count > 1
+    again[back[several]] = True
+    return again[back]
+
+
+def _judge_owners(keys: list[np.ndarray], more: list[bytes]) -> np.ndarray:
+    """Whether another block has a smaller document with each rank."""
+    name = np.concatenate(keys)
+    check = np.concatenate([np.frombuffer(m, U, len(k)) for k, m in zip(keys, more, strict=True)])
+    owner = np.concatenate([np.frombuffer(m, np.int64, len(k), 8 * len(k)) for k, m in zip(keys, more, strict=True)])
+    order = np.lexsort((check, name))
+    heads = _groups(name[order], check[order])
+    least = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
+    out = np.zeros(len(name), bool)
+    out[order] = least < owner[order]
+    return out
 
 
 def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 5 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
-    spans lists the removed runs as start, end, start, end ... in bytes. length: 32 to 79. Texts
+    spans lists the removed runs as start, end, start, end ... in bytes. length: 32 at least. Texts
     are UTF-8 bytes, whole; null is empty. Documents with one id never count against each other;
     null ids come after all others. An empty table gives an empty one. Other columns are ignored.
     """
-    if not 32 <= length <= 79:
-        raise ValueError("length must be 32 to 79")
+    if length < MIDDLE:
+        raise ValueError(f"length must be {MIDDLE} at least")
     n_blocks = block_count(text_bytes(docs, text), block_bytes)
     bits = X.bucket_bits(n_blocks)
     texts = blocked(docs, n_blocks, doc_id, text).repartition(n_blocks, "block")
 
-    def send_ranks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, several = _Block(t, length).ranks()
-        out = [(b, X.short(keys[lo:hi], bits), H.pack_bits(several[lo:hi])) for b, lo, hi in X.split(keys, bits)]
-        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "keys": pa.array([o[1] for o in out], pa.binary()), "flags": pa.array([o[2] for o in out], pa.binary())})
-
-    def judge_ranks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        got = X.ordered(t, "block", "keys", "flags")
-        keys = [np.frombuffer(k, np.uint32) for _, k, _ in got]
-        every = np.concatenate(keys)
-        several = np.concatenate([H.unpack_bits(f, len(k)) for k, (_, _, f) in zip(keys, got, strict=True)])
-        _, back, count = np.unique(every, return_inverse=True, return_counts=True)
-        again = count > 1
-        np.logical_or.at(again, back[several], True)
-        bits_of, lo, out = again[back], 0, []
-        for k in keys:
-            out.append(H.pack_bits(bits_of[lo : lo + len(k)]))
-            lo += len(k)
-        return pa.table({"block": pa.array([g[0] for g in got], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(got), pa.int32()), "bits": pa.array(out, pa.binary())})
-
-    def send_contexts(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(t, length)
-        block.contexts(_repeated(block, replies, bits))
-        h = block.heads
-        ranks, owner = block.rank[h], block.keys[block.doc[h]] if len(h) else np.zeros(0, np.int64)
-        out = []
-        for b, lo, hi in X.split(ranks, bits):
-            out.append((b, ranks[lo:hi].tobytes(), owner[lo:hi].tobytes(), block.left[h[lo:hi]].tobytes() + block.right[h[lo:hi]].tobytes(), block.context(h[lo:hi]).tobytes()))
-        return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32())} | {n: pa.array([o[i] for o in out], pa.binary()) for i, n in ((1, "keys"), (2, "owners"), (3, "sides"), (4, "bytes"))})
-
-    width = length - FIRST + 1
-
-    def judge_windows(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        got = X.ordered(t, "block", "keys", "owners", "sides", "bytes")
-        counts = [len(g[1]) // 8 for g in got]
-        ranks = np.frombuffer(b"".join(g[1] for g in got), U)
-        owner = np.frombuffer(b"".join(g[2] for g in got), np.int64)
-        left = np.concatenate([np.frombuffer(g[3], np.uint8)[:n] for g, n in zip(got, counts, strict=True)])
-        right = np.concatenate([np.frombuffer(g[3], np.uint8)[n:] for g, n in zip(got, counts, strict=True)])
-        ctx = np.frombuffer(b"".join(g[4] for g in got), np.uint8).reshape(len(ranks), -1)
-        masks = np.zeros(len(ranks), U)
-        order = np.lexsort((owner, ranks))
-        first = np.flatnonzero(np.append(True, ranks[order][1:] != ranks[order][:-1])) if len(order) else order
-        size = np.diff(np.append(first, len(order)))
-        few, many = (size > 1) & (size <= LAGS), size > LAGS
-        place = np.arange(len(order)) - np.repeat(first, size)
-        for some, step in ((few, 8_000), (many, 8_000)):  # whole ranks, about `step` contexts at a time
-            picked = np.flatnonzero(some)
-            upto = np.cumsum(size[picked])
-            lo = 0
-            while lo < len(picked):
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, side="right")))
-                g = picked[lo:hi]
-                rows = np.repeat(first[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(size[g].sum())
-                at, nth = order[rows], place[rows]
-                window = H.BYTE[ctx[at]]
-                have, k = 1, 0
-                while have < length:
-                    offset = min(have, length - have)
-                    window = H.mix(window[:, : window.shape[1] - offset] * H.ODD[2 * k] + window[:, offset:] * H.ODD[2 * k + 1])
-                    have, k = have + offset, k + 1
-                reach = width - 1 - np.arange(width)
-                whole = (reach[None, :] <= left[at, None]) & (length - reach[None, :] <= right[at, None])
-                if some is few:
-                    own, hit = owner[at], np.zeros(window.shape, dtype=bool)
-                    for lag in range(1, LAGS):
-                        x = np.flatnonzero(nth >= lag)
-                        x = x[own[x - lag] < own[x]]
-                        hit[x] |= (window[x] == window[x - lag]) & whole[x] & whole[x - lag]
-                    masks[at] = (hit.astype(U) << np.arange(width, dtype=U)[None, :]).sum(axis=1, dtype=U)
-                else:
-                    for j in range(width):
-                        ok = np.flatnonzero(whole[:, j])
-                        name = H.mix(window[ok, j] + ranks[at[ok]] * H.ODD[33])
-                        o = np.argsort(name, kind="stable")  # owners ascend within a rank
-                        if not len(o):
-                            continue
-                        new = np.append(True, name[o][1:] != name[o][:-1])
-                        least = owner[at[ok[o]]][np.flatnonzero(new)][np.cumsum(new) - 1]
-                        later = at[ok[o]][least < owner[at[ok[o]]]]
-                        masks[later] |= U(1) << U(j)
-                lo = hi
-        out, lo = [], 0
-        for n in counts:
-            out.append(masks[lo : lo + n].tobytes())
-            lo += n
-        return pa.table({"block": pa.array([g[0] for g in got], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(got), pa.int32()), "bits": pa.array([None] * len(got), pa.binary()), "masks": pa.array(out, pa.binary())})
+    def asking(rounds: int):
+        def run(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
+            out = list(_Block(t, length).ask(rounds, replies, bits)[0].rows(bits)) if t.num_rows else []
+            return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "keys": pa.array([o[1] for o in out], pa.binary()), "more": pa.array([o[2] for o in out], pa.binary())})
+
+        return lean(run)
+
+    def judging(rounds: int):
+        judge = _judge_owners if rounds % 2 else _judge_repeats
+
+        def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            got = X.ordered(t, "block", "keys", "more")
+            keys = [np.frombuffer(k, np.uint32) for _, k, _ in got]
+            bits_of, lo, out = judge(keys, [m for *_, m in got]), 0, []
+            for k in keys:
+                out.append(H.pack_bits(bits_of[lo : lo + len(k)]))
+                lo += len(k)
+            return pa.table({"block": pa.array([g[0] for g in got], pa.int32()), "round": pa.array([rounds] * len(got), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(got), pa.int32()), "bits": pa.array(out, pa.binary())})
+
+        return lean(run)
 
     def remove(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(t, length)
-        ranks = replies.filter(pa.compute.is_valid(replies.column("bits")))
-        windows = replies.filter(pa.compute.is_valid(replies.column("masks")))
-        block.contexts(_repeated(block, ranks, bits))
-        got = {b: m for b, m in X.rows(windows, "bucket", "masks")}
-        heads = block.rank[block.heads]
-        masks = np.zeros(len(heads), U)
-        for b, lo, hi in X.split(heads, bits):
-            masks[lo:hi] = np.frombuffer(got[b], U)
-        gone = _covered(block, masks)
-        out = []
-        for (_, i, raw), lo, hi in zip(block.docs, block.starts, block.ends, strict=True):
-            g = gone[lo:hi]
-            turns = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
-            kept = block.buf[lo:hi][~g].tobytes() if len(turns) else raw
-            out.append((i, len(raw), int(g.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest(), turns.tolist()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        out = []
+        if t.num_rows:
+            block = _Block(t, length)
+            ask, last = block.ask(3, replies, bits)
+            gone = block.removed(ask, ask.told(last, bits))
+            for (_, i, raw), lo, hi in zip(block.docs, block.starts, block.ends, strict=True):
+                g = gone[lo:hi]
+                turns = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
+                kept = block.buf[lo:hi][~g].tobytes() if len(turns) else raw
+                out.append((i, len(raw), int(g.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest(), turns.tolist()))
         return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
-    asked = texts.groupBy("block").applyInArrow(send_ranks, "bucket int, block int, keys binary, flags binary")
-    told = asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(judge_ranks, "block int, bucket int, bits binary").repartition(n_blocks, "block")
-    shown = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_contexts, "bucket int, block int, keys binary, owners binary, sides binary, bytes binary")
-    judged = shown.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(judge_windows, "block int, bucket int, bits binary, masks binary")
-    both = told.withColumn("masks", F.lit(None).cast("binary")).unionByName(judged.repartition(n_blocks, "block"))
-    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    none = docs.sparkSession.createDataFrame([], "block int, round int, bucket int, bits binary").repartition(n_blocks, "block")
+    told: list[DataFrame] = [none]
+    for rounds in range(4):
+        asked = texts.groupBy("block").cogroup(union_all(told).groupBy("block")).applyInArrow(asking(rounds), "bucket int, block int, keys binary, more binary")
+        judged = asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(judging(rounds), "block int, round int, bucket int, bits binary")
+        told.append(judged.repartition(n_blocks, "block"))
+    return texts.groupBy("block").cogroup(union_all(told).groupBy("block")).applyInArrow(lean(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """`find_repeats` of 50 bytes, without the spans; odd rows are as there."""
     return find_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -140,6 +140,45 @@ def test_frequent_strings(spark):
     same(substring_dedup.op2(frame(spark, rows)).collect(), brute.repeats(rows))
 
 
+@pytest.mark.parametrize("length", [32, 47, 64, 100])
+def test_repeats_of_other_lengths(docs, rows, length):
+    same([tuple(r)[:5] for r in substring_dedup.find_repeats(docs, length).collect()], brute.repeats(rows, length))
+
+
+def test_passage_in_all_documents(spark):
+    """A passage in every document: removed from all but the first, its neighbourhood in each left alone."""
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(k))
+    passage = say(60)
+    rows = [(i, f"{say(9)} {passage} {say(9)}") for i in range(400)]
+    got = {g.doc_id: g for g in substring_dedup.op2(frame(spark, rows)).collect()}
+    assert got[0].n_removed == 0 and all(len(passage) <= got[i].n_removed <= len(passage) + 16 and got[i].n_spans == 1 for i in range(1, 400))
+    same(got.values(), brute.repeats(rows))
+
+
+def test_repeats_in_chunks(spark, monkeypatch):
+    """Anchors at the borders of a block's chunks."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", 128)
+    r = random.Random(12)
+    rows = documents(31, 60)
+    texts = substring_dedup.pa.table({"doc_id": [d for d, t in rows], "text": [t or "" for _, t in rows]})
+    small = substring_dedup._Block(texts, 50)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 1 << 30)
+    whole = substring_dedup._Block(texts, 50)
+    for name in ("pos", "low", "high", "ids"):
+        assert getattr(small, name).tolist() == getattr(whole, name).tolist()
+    # And each window has the anchors with its least rank.
+    top = whole.rank(np.arange(len(whole.buf) - 15), 16) >> np.uint64(32) | np.uint64(1)
+    held = defaultdict(set)
+    for p, a, z in zip(whole.pos, whole.low, whole.high, strict=True):
+        for w in range(a, z + 1):
+            held[w].add(int(p))
+    for w in r.sample(range(len(whole.buf) - 50), 500):
+        if not any(w < e < w + 50 for e in whole.ends):
+            low = top[w : w + 35].min()
+            assert held[w] == {w + i for i in np.flatnonzero(top[w : w + 35] == low)}
+
+
 @pytest.mark.parametrize("n,num,den,local", [(4, 85, 100, 400), (5, 80, 100, 4)])
 def test_classes(docs, rows, none, n, num, den, local):
     same(jaccard_join.jaccard_classes(docs, n, num, den, local=local).collect(), brute.classes(rows, n, num, den))
