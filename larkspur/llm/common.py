@@ -31,7 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `cleanup` knows it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made(spark).add(path)
+    return path
+
+
+def _made(spark: SparkSession) -> set[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_larkspur_scratch"):
+        sc._larkspur_scratch = set()
+    return sc._larkspur_scratch
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all scratch folders of this session that still lie there, once no result is read any more; returns how many."""
+    paths = list(_made(spark))
+    drop(spark, *paths)
+    return len(paths)
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -61,6 +78,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _made(spark).discard(path)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
