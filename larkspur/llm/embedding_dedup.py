@@ -280,3 +280,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
 def op9(vectors: DataFrame) -> DataFrame:
     """`near_vectors` at cosine 0.95; odd rows are as there."""
     return near_vectors(vectors)
+
+
+#: All pairs of embeddings, for a small table; the query may miss one in 200 of the links at the threshold.
+OP9_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), good AS (
+    SELECT row_number() OVER () AS row, vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+    WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.row <> b.row AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.95 * a.norm * b.norm
+), reached AS (
+    SELECT DISTINCT a AS vec_id, a AS other FROM links
+    UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), least AS (
+    SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), degree AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id, coalesce(coalesce(l.component_id, e.vec_id) = e.vec_id, false) AS kept
+FROM embeddings e LEFT JOIN least l ON l.vec_id = e.vec_id LEFT JOIN degree d ON d.vec_id = e.vec_id
+"""

@@ -460,3 +460,35 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
 def op3(docs: DataFrame) -> DataFrame:
     """`jaccard_classes` of 4 words at 0.85; odd rows are as there."""
     return jaccard_classes(docs, n=4, num=85, den=100)
+
+
+#: The same over documents.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+    SELECT doc_id, w, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s FROM words
+), sets AS (
+    SELECT row_number() OVER () AS id, doc_id, len(s) AS n, s FROM listed
+), held AS (
+    SELECT id, unnest(list_transform(s, lambda x: md5(array_to_string(x, ' ')))) AS shingle FROM sets
+), both_sides AS (
+    SELECT a.id AS a, b.id AS b, count(*) AS shared FROM held a JOIN held b ON a.shingle = b.shingle AND a.id < b.id GROUP BY ALL
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b FROM both_sides l JOIN sets x ON x.id = l.a JOIN sets y ON y.id = l.b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared) AND x.doc_id <> y.doc_id
+), edges AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+    SELECT DISTINCT a AS doc_id, a AS other FROM edges
+    UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other
+), least AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+), counted AS (
+    SELECT doc_id, w, CAST(len(s) AS BIGINT) AS n_shingles FROM listed
+)
+SELECT d.doc_id, c.n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM documents d
+JOIN counted c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.w = regexp_extract_all(translate(coalesce(d.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')
+LEFT JOIN least l ON l.doc_id = d.doc_id
+"""

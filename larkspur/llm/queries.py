@@ -29,4 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.OP1_SQL, "op10_warc_zip": warc_zip.OP10_SQL}
+#: SQL where it can say what the operator does; the others are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": sharding.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
+    "op10_warc_zip": warc_zip.OP10_SQL,
+}

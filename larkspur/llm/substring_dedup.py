@@ -278,3 +278,31 @@ def find_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text
 def op2(docs: DataFrame) -> DataFrame:
     """`find_repeats` of 50 bytes, without the spans; odd rows are as there."""
     return find_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same over documents, each with an id of its own.
+OP2_SQL = """
+WITH bodies AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(h[2 * i + 1:2 * i + 100]) AS rank FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM bodies)
+), first AS (
+    SELECT rank, min(doc_id) AS doc_id FROM windows GROUP BY rank
+), gone AS (
+    SELECT w.doc_id, w.i FROM windows w JOIN first f ON f.rank = w.rank WHERE f.doc_id < w.doc_id
+), islands AS (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island
+    FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM gone)
+), spans AS (
+    SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM islands GROUP BY doc_id, island
+), pieces AS (
+    SELECT s.doc_id, s.lo, h[2 * coalesce(lag(s.hi) OVER (PARTITION BY s.doc_id ORDER BY s.lo), 0) + 1:2 * s.lo] AS piece FROM spans s JOIN bodies b ON b.doc_id = s.doc_id
+), kept AS (
+    SELECT p.doc_id, string_agg(piece, '' ORDER BY lo) AS piece FROM pieces p GROUP BY p.doc_id
+), removed AS (
+    SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last FROM spans GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(piece, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM bodies b LEFT JOIN removed r ON r.doc_id = b.doc_id LEFT JOIN kept k ON k.doc_id = b.doc_id
+"""
