@@ -6,8 +6,9 @@ first, each goes to the bin with the least room that holds it and is compatible:
 room, and the search goes on from the tightest to its successors until one is compatible; else a
 bin is opened. A bin carries two bitmaps, of the sources that are used up in it and of its clusters.
 
-Groups are dealt by a hash of the id and hold about `group_rows` documents, so a frequent source or
-cluster is spread over all groups; only ids, sizes and marks are shuffled. At most one bin a group
+Groups are dealt by a hash of id, size, source and cluster and hold about `group_rows` documents, so
+a frequent source or cluster is spread over all groups, and so are null and repeated ids unless all
+of that is the same; only ids, sizes and marks are shuffled. At most one bin a group
 is lost to the cut.
 """
 
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("size"), F.col(source).cast("string").alias("source"), (text_cluster(body) if cluster is None else cluster).alias("cluster"))
     groups = max(1, -(-docs.count() // group_rows))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(hash_of("doc_id"), F.lit("bin")), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(*(hash_of(c) for c in ("doc_id", "size", "source", "cluster"))), F.lit(groups)).cast("int"))
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         group = key[0].as_py()
@@ -117,4 +118,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """`pack` into bins of CAPACITY bytes; odd rows are as there."""
     return pack(docs)

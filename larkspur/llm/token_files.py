@@ -24,11 +24,12 @@ from operator import not_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larkspur.llm.common import block_count, get, materialize, put, scratch, text_bytes
+from larkspur.llm.common import block_count, get, hash_of, lean, materialize, put, release, scratch, text_bytes
 
 MAGIC = b"LKT1"
 BLOCK = 4096
@@ -44,6 +45,7 @@ BEYOND = re.compile("[^\x00-ɏ]")
 CUT = "\x01"
 CACHE = 1_000_000
 STEP = 256
+STRETCH = 4096
 
 
 class Encoder:
@@ -240,19 +242,47 @@ def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, null, strict=True)], counts, ids
 
 
+EXACT = 1 << 53
+
+
+def part_of(rows: DataFrame, n_parts: int, key: str, *more: str) -> DataFrame:
+    """rows with `part`: about n_parts ranges of an integer key, ascending, nulls first.
+
+    Bounds are quantiles, looked up by a binary search. A key that fills several ranges by itself
+    (a frequent one, or null) has them all, its rows dealt to them by a hash of `more`; but not keys
+    beyond 2**53, which doubles don't tell apart.
+    """
+    total, nulls = rows.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    blank = -(-n_parts * nulls // total) if total else 0
+    n = max(1, n_parts - blank)
+    bounds = rows.filter(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n) if n > 1 and nulls < total else []
+    values, times = np.unique(np.array(bounds, dtype=np.float64), return_counts=True)
+    deal = F.xxhash64(*(hash_of(c) for c in more))
+    if not len(values):
+        return rows.withColumn("part", F.when(F.col(key).isNull(), F.pmod(deal, F.lit(max(1, blank)))).otherwise(blank).cast("int"))
+    before = np.append(0, np.cumsum(times)) + blank  # parts of smaller keys
+    cut = Bucketizer(splits=[float("-inf"), *values.tolist(), float("inf")], inputCol="__key", outputCol="__at", handleInvalid="keep").transform(rows.withColumn("__key", F.col(key).cast("double")))
+    at, array = F.col("__at").cast("int"), lambda x, kind: F.lit(x).cast(f"array<{kind}>")
+    same = F.get(array(values.tolist(), "double"), at - 1) == F.col("__key")  # the key is the bound that ends the range before
+    first = F.get(array(before.tolist(), "int"), F.when(same, at - 1).otherwise(at))
+    wide = F.when(same & (F.abs(F.col("__key")) < EXACT), F.get(array(times.tolist(), "int"), at - 1)).otherwise(1)
+    part = F.when(F.col(key).isNull(), F.pmod(deal, F.lit(max(1, blank)))).otherwise(first + F.pmod(deal, wide))
+    return cut.withColumn("part", part.cast("int")).drop("__key", "__at")
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 12 << 20) -> DataFrame:
     """Write the files to the folder, and return (part, path, n_docs, n_ids) of each.
 
     Documents are in ascending doc_id order within and across parts, null ids first, and repeated
-    rows are all written; each ends with end_id. A null text is empty. The parts' bounds are
-    quantiles of the ids. An empty table gives no file. Other columns are ignored.
+    rows are all written; each ends with end_id. A null text is empty. The parts are those of
+    `part_of`. An empty table gives no file. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_parts = block_count(text_bytes(docs, text), part_bytes)
-    bounds = sorted(set(docs.select(F.col(doc_id).cast("long").alias("d")).filter("d is not null").approxQuantile("d", [i / n_parts for i in range(1, n_parts)], 0.2 / n_parts)))
-    part = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
+    rows = part_of(rows, n_parts, "doc_id", "text")
+    n_parts = n_parts + 1  # nulls have a part of their own
 
     def tokenize(batches):
         encoder = encoder_of(tokenizer)
@@ -315,7 +345,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         put(path, data)
         return pa.table({n: pa.array([v], k) for n, k, v in zip(names, kinds, (key[0].as_py(), path, len(docs), len(ids)), strict=True)})
 
-    written = tokens.groupBy("part").cogroup(code.groupBy("part")).applyInArrow(write, "part int, path string, n_docs long, n_ids long")
+    written = tokens.groupBy("part").cogroup(code.groupBy("part")).applyInArrow(lean(write), "part int, path string, n_docs long, n_ids long")
     return materialize(written, "manifest")[0]
 
 
@@ -323,10 +353,15 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True, spread: int | None =
     """(doc_id, start, n_tokens, ids_crc32, ids) of the files' documents.
 
     start counts the ids of all documents before; the CRC is of the ids as little-endian 32-bit
-    numbers. Without ids, these stay in the task that decodes them.
+    numbers. Without ids, these stay in the task that decodes them. No files give an empty table.
+    Starts are summed by stretches of STRETCH parts, then within each.
     """
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = manifest.withColumn("stretch", F.floor(F.col("part") / STRETCH))
+    sums = cut.groupBy("stretch").agg(F.sum("n_ids").alias("n_ids"))
+    sums = sums.select(F.col("stretch").alias("s"), upto(W.orderBy("stretch")).alias("base"))
+    files = cut.withColumn("within", upto(W.partitionBy("stretch").orderBy("part"))).join(sums, F.col("stretch") == F.col("s"))
+    files = files.select("part", "path", (F.col("base") + F.col("within")).alias("start"))
 
     def read(batches):
         for b in batches:
@@ -343,12 +378,14 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True, spread: int | None =
                         a, z = int(begin[lo]), int(end[few][-1])
                         cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, end[few] - a), pa.int32()), pa.array(flat[a:z].astype(np.int64)))
                     yield pa.record_batch(cols)
+        release()
 
     spread = spread or manifest.sparkSession.sparkContext.defaultParallelism * 4
     return files.repartition(spread, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """What `read_tokens` finds after `write_tokens` with end id 0; odd rows are as there."""
     import public_tokenizers
 
     return read_tokens(write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")), with_ids=False)

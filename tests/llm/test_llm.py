@@ -209,6 +209,23 @@ def test_tokens(docs, rows, none):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def test_parts_of_frequent_ids(spark):
+    """Order across parts holds, and neither a frequent id nor nulls make a large part."""
+    r = random.Random(4)
+    big = 1 << 60
+    ids = [7] * 1000 + [None] * 1000 + [r.randrange(1000) for _ in range(900)] + [big + i % 3 for i in range(200)]
+    r.shuffle(ids)
+    rows = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(4)
+    parts = defaultdict(list)
+    for x in token_files.part_of(rows, 31, "doc_id", "text").collect():
+        parts[x.part].append(x.doc_id)
+    assert max(map(len, parts.values())) <= 260 and max(parts) <= 31
+    flat = [d for p in sorted(parts) for d in sorted(parts[p], key=lambda d: (d is not None, d or 0))]
+    assert flat == sorted(ids, key=lambda d: (d is not None, d or 0))
+    few = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
+    assert token_files.part_of(few, 5, "doc_id", "text").count() == 2 and token_files.part_of(few.limit(0), 5, "doc_id", "text").count() == 0
+
+
 def test_encoder_pieces():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -406,6 +423,37 @@ def test_packing(docs, rows, none):
     assert packing.op8(none).count() == 0
 
 
+def test_packing_laws(spark):
+    """Whole bins: capacity, sources, clusters, every byte once; near the least number of bins."""
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choice(("aa", "bbb", "c")) for _ in range(r.randint(0, 40))), f"s{r.randrange(9)}" if r.random() < 0.9 else None) for i in range(1500)]
+    rows += [(2000 + i, "Same  text here" if i % 2 else "same text HERE ", f"t{i}") for i in range(60)] + [(3000, "x" * 3333, "s1"), (3001, None, None), (None, "n", "s2"), (None, "n", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for group_rows in (100_000, 300):
+        got = packing.pack(df, capacity=500, per_source=3, group_rows=group_rows).collect()
+        by_id = {d: (t or "", s) for d, t, s in rows}
+        bins, pieces = defaultdict(list), defaultdict(list)
+        for g in got:
+            bins[g.bin_id].append(g)
+            pieces[g.doc_id].append((g.piece_start, g.piece_bytes))
+        for d, (t, _) in by_id.items():
+            at = 0
+            for start, size in sorted(pieces[d]) if d is not None else ():
+                assert start == at
+                at += size
+            assert d is None or at == len(t.encode())
+        for held in bins.values():
+            assert sum(g.piece_bytes for g in held) <= 500
+            last = [g for g in held if g.piece_bytes < 500 or len(held) > 1]
+            sources = Counter(by_id[g.doc_id][1] for g in last)
+            assert all(n <= 3 for s, n in sources.items() if s is not None)
+            clusters = Counter(" ".join(by_id[g.doc_id][0].lower().split()) for g in last if by_id[g.doc_id][0].strip())
+            assert max(clusters.values(), default=1) == 1
+        if group_rows > 1500:
+            fewest = -(-sum(len(t.encode()) for t, _ in by_id.values()) // 500)
+            assert len(bins) <= 1.02 * fewest + 60  # the short copies come last and may each need a bin
+
+
 def test_recall_of_projections(spark):
     """Pairs just at the threshold, which are the hardest: at least 0.99 of them are found, and nothing below it."""
     r = np.random.default_rng(11)
