@@ -309,7 +309,7 @@ def _asks(block: int, b: _Block, keys: np.ndarray, more: np.ndarray, bits: int)
 ASK = "bucket int, block int, keys binary, more binary"
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20, local: int = 400) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 5 << 20, local: int = 400) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; exact for a Jaccard similarity of num / den or more.
 
     Words are runs without ASCII white space of the whole text, A-Z lowered. A text with fewer
@@ -340,18 +340,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         """The pivots that the block needs and doesn't have."""
         b = _Block(t, n)
         b.prefix(told, bits, num, den)
-        who = np.setdiff1d(b.pivots(told, bits)[1], b.reps)
-        return pa.table({"who": pa.array(who, pa.int64()), "asker": pa.array([key[0].as_py()] * len(who), pa.int32())})
+        who, asker = np.setdiff1d(b.pivots(told, bits)[1], b.reps), key[0].as_py()
+        return pa.table({"who": pa.array(who, pa.int64()), "part": pa.array([asker // ASKERS] * len(who), pa.int32()), "asker": pa.array([asker] * len(who), pa.int32())})
 
     def serve(key: tuple[pa.Scalar, ...], t: pa.Table, asked: pa.Table) -> pa.Table:
-        """The sets of the documents that are asked for."""
+        """The sets of the documents that are asked for, once for each part."""
         t = t.filter(pa.compute.is_in(t.column("doc_id"), asked.column("who").combine_chunks()))
-        found = {(i, s.tobytes()) for i, s in zip(t.column("doc_id").to_pylist(), shingle_sets([x.encode() for x in t.column("text").to_pylist()], n), strict=True) if len(s)}
-        return pa.table({"who": pa.array([i for i, _ in found], pa.int64()), "data": pa.array([s for _, s in found], pa.binary())})
+        found: dict[int, set[bytes]] = {}
+        for i, s in zip(t.column("doc_id").to_pylist(), shingle_sets([x.encode() for x in t.column("text").to_pylist()], n), strict=True):
+            if len(s):
+                found.setdefault(i, set()).add(s.tobytes())
+        out = [(w, p, s) for w, p in X.rows(asked, "who", "part") for s in found.get(w, ())]
+        return pa.table({"who": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
 
-    def served(asked: DataFrame) -> DataFrame:
-        wanted = asked.select("who").distinct().select("who", home).repartition(n_blocks, "block")
-        return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(lean(serve), "who long, data binary")
+    def served(asked: DataFrame, again: DataFrame = texts) -> DataFrame:
+        wanted = asked.select("who", "part", home).repartition(n_blocks, "block")
+        return again.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(lean(serve), "who long, part int, data binary")
 
     def measure(key: tuple[pa.Scalar, ...], t: pa.Table, told: pa.Table) -> pa.Table:
         b = _Block(t, n)
@@ -397,13 +401,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     rarity = judged(texts.groupBy("block").applyInArrow(lean(ask), ASK), _count)
     leaders = judged(with_replies(rarity).applyInArrow(lean(ask_leaders), ASK), _lead)
-    asked = with_replies(rarity.unionByName(leaders)).applyInArrow(lean(request), "who long, asker int")
-    asked, at_asked = materialize(asked, "pivots")
-    # A pivot that very many blocks ask for is sent by several tasks.
-    spread = asked.groupBy("who").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("spread"))
-    pivots = served(asked).join(spread, "who").select("who", "data", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("part"))
-    turn = asked.join(spread, "who").select("who", "asker", F.pmod(F.xxhash64("asker"), F.col("spread")).cast("int").alias("part"))
-    sent = turn.join(pivots, ["who", "part"]).select(F.col("asker").alias("block"), F.lit("pivot").alias("kind"), F.lit(None).cast("int").alias("bucket"), "who", "data").repartition(n_blocks, "block")
+    # All in one plan, so that texts are dealt to blocks once. A pivot that very many blocks ask for is sent by
+    # a task for ASKERS of them; both readers of this exchange read all of it, so that it is made once.
+    asked = with_replies(rarity.unionByName(leaders)).applyInArrow(lean(request), "who long, part int, asker int").repartition(n_blocks, "who", "part")
+    pivots = served(asked.groupBy("who", "part").agg(F.count("asker").alias("askers")).filter("askers > 0"))
+    sent = asked.join(pivots, ["who", "part"]).select(F.col("asker").alias("block"), F.lit("pivot").alias("kind"), F.lit(None).cast("int").alias("bucket"), "who", "data").repartition(n_blocks, "block")
     dealt = with_replies(rarity.unionByName(leaders).unionByName(sent)).applyInArrow(lean(measure), "kind string, doc_id long, n_shingles long, rep long, pivot long, far double, linked boolean")
     path = scratch(spark, "measured")
     dealt.write.partitionBy("kind").parquet(path)
@@ -417,11 +419,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     left = left.join(near, F.col("rep") == F.col("node"), "left").select("pivot", "rep", F.coalesce("component", "rep").alias("main"))
     live = left.groupBy("pivot").agg(F.count("*").alias("members"), F.min("main").alias("least"), F.max("main").alias("most")).filter("least < most").select(F.col("pivot").alias("p"), "members")
     left, at_left = materialize(left.join(live, F.col("pivot") == F.col("p")).select(F.col("pivot").alias("cluster"), F.col("rep").alias("who"), "main", "members"), "regions")
-    trash = [at_asked, at_left]
+    trash = [at_left]
     rows = dealt.filter("kind = 'd'").select("doc_id", "n_shingles", "rep").join(near, F.col("rep") == F.col("node"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("class"))
     if left.take(1):
-        sets = left.join(served(left), "who").select("cluster", F.col("who").alias("rep"), F.col("data").alias("shingles"), "main", "members")
+        # Only the texts of these documents are dealt again.
+        wanted = left.select("who").distinct().withColumn("part", F.lit(0))
+        few = blocked(docs.join(wanted.select(F.col("who").alias("__who")), F.col(doc_id) == F.col("__who"), "left_semi"), n_blocks, doc_id, text).repartition(n_blocks, "block")
+        sets = left.join(served(wanted, few), "who").select("cluster", F.col("who").alias("rep"), F.col("data").alias("shingles"), "main", "members")
         small, links = sets.filter(F.col("members") <= local).drop("members"), []
         if left.filter(F.col("members") > local).take(1):
             small = small.unionByName(_large(sets.filter(F.col("members") > local).drop("members", "main"), num, den, local, links, trash))
