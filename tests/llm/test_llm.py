@@ -323,14 +323,34 @@ def test_scores_of_spans(spark):
     df = frame(spark, [(i, t) for i, t, *_ in made])
     span = pii.candidates(df).select("doc_id", pii._pieces(F.col("text")).alias("pieces"), F.explode("more").alias("s"))
     f = pii.features(F.col("pieces"), F.col("s"))
-    rows = span.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), *(c.alias(k) for k, c in f.items()), model.score(f).alias("p")).collect()
+    rows = span.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), *(c.alias(k) for k, c in f.items()), model.score(f).alias("p")).collect()
     x = np.array([[g[k] for k in pii.FEATURES] for g in rows])
     p = 1 / (1 + np.exp(-sum(pii._apply(t, x) for t in model.trees)))
     assert np.allclose(p, [g.p for g in rows])
-    taken = {(r.doc_id, s["kind"], s["start"]) for r in pii.find_pii(df).collect() for s in r.spans if s["kind"] in pii.MORE}
-    base = {r.doc_id: [s for s in r.base] for r in pii.find_pii(df).collect()}
+    taken = {(r.doc_id, s["kind"], s["start"]) for r in pii.find_pii(df, model).collect() for s in r.spans if s["kind"] in pii.MORE}
+    base = {r.doc_id: r.base for r in pii.find_pii(df, model).collect()}
     want = {(g.doc_id, g.kind, g.start) for g, q in zip(rows, p, strict=True) if q >= model.thresholds[g.kind]}
-    assert taken <= want and all(any(True for _ in base[d]) for d, _, _ in want - taken)
+    # What isn't taken overlaps a base span or a neighbour with a higher score.
+    spans = {(g.doc_id, g.kind, g.start): (g['end'], q) for g, q in zip(rows, p, strict=True)}
+    for d, k, a in want - taken:
+        z, q = spans[d, k, a]
+        near = any(s["start"] < z and a < s["end"] for s in base[d]) or any(d == e and b < z and a < y and s >= q for (e, j, b), (y, s) in spans.items() if (j, b) != (k, a))
+        assert near
+    assert taken <= want
+
+
+def test_training_on_documents(spark):
+    """Formats that only documents have are learnt from the words before them, and then found without those words."""
+    r = random.Random(6)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    say = lambda k: " ".join(pick("aeiounst", r.randint(2, 8)) for _ in range(k))
+    key = lambda: "zz" + pick("0123456789", 4) + "_" + pick("abcdef", 10) + "_zz"
+    other = lambda: pick("ghijkl", 14) + "/" + pick("0123456789", 2)
+    rows = [(i, f"{say(9)} 123 {say(2)} token = {key()} {say(4)} {other()}") for i in range(900)]
+    model = pii.fit(spark, frame(spark, [*rows, (5000, None)]))
+    test = [(i, f"{say(5)} {key() if i % 2 else other()} {say(5)}") for i in range(200)]
+    found = {x.doc_id: [s["kind"] for s in x.spans] for x in pii.find_pii(frame(spark, test), model).collect()}
+    assert sum(found[i] == ["secret"] for i in range(1, 200, 2)) >= 95 and sum(found[i] == [] for i in range(0, 200, 2)) >= 95
 
 
 def test_leaks(spark, docs, none, monkeypatch):
