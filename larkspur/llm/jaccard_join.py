@@ -63,18 +63,14 @@ def _sets(raw: list[bytes], n: int) -> Iterator[np.ndarray]:
     per = np.bincount(doc, minlength=len(raw))
     first = np.cumsum(per) - per
     out = H.shingle_hashes(words, n) if len(words) >= n else np.zeros(0, U)
-    whole = doc[: len(out)] == doc[len(words) - len(out) :]
-    out, doc = out[whole], doc[: len(out)][whole]
-    order = np.lexsort((out, doc))
-    out, doc = out[order], doc[order]
-    new = np.append(True, (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])) if len(out) else np.zeros(0, bool)
-    out, doc = out[new], doc[new]
-    edge = np.searchsorted(doc, np.arange(len(raw) + 1))
-    for i in range(len(raw)):
-        if 0 < per[i] < n:
-            yield H.shingle_hashes(words[first[i] : first[i] + per[i]], n)
-        else:
-            yield out[edge[i] : edge[i + 1]]
+    for a, k in zip(first.tolist(), per.tolist(), strict=True):
+        if k < n:
+            yield H.shingle_hashes(words[a : a + k], n) if k else words[:0]
+            continue
+        mine = np.sort(out[a : a + k - n + 1])  # runs of n words that begin and end in the text
+        new = np.ones(len(mine), bool)
+        np.not_equal(mine[1:], mine[:-1], out=new[1:])
+        yield mine[new]
 
 
 class _Block:
@@ -272,6 +268,16 @@ def _large(rows: DataFrame, num: int, den: int, local: int, done: list[DataFrame
     return union_all(ready)
 
 
+SALTS = 16
+
+
+def _by_pivot(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (pivot, rep, ...) with the one row of facts (p, ...) of their pivot; a frequent pivot's rows are dealt to SALTS tasks."""
+    many = facts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return dealt.join(many, (F.col("pivot") == F.col("p")) & (F.col("__salt") == F.col("__s"))).drop("p", "__s", "__salt")
+
+
 REPLY = "block int, kind string, bucket int, who long, data binary"
 
 
@@ -291,14 +297,18 @@ def _count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 
 
 def _lead(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Of a bucket's shingles, the smallest document that has each among its first."""
+    """Of a bucket's shingles, the smallest document that has each among its first, and the blocks that need others' sets."""
     got = X.ordered(t, "block", "keys", "more")
     _, back = np.unique(np.frombuffer(b"".join(g[1] for g in got), np.uint32), return_inverse=True)
     mine = np.frombuffer(b"".join(g[2] for g in got), np.int64)
     least = np.full(back.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, back, mine)
     edge = np.cumsum([0] + [len(g[2]) // 8 for g in got])
-    return _replies([g[0] for g in got], "leader", [key[0].as_py()] * len(got), [least[back[a:z]].tobytes() for a, z in pairwise(edge)])
+    replies = _replies([g[0] for g in got], "leader", [key[0].as_py()] * len(got), [least[back[a:z]].tobytes() for a, z in pairwise(edge)])
+    foreign = [np.unique(least[back[a:z]][least[back[a:z]] != mine[a:z]]) for a, z in pairwise(edge)]
+    asker = np.repeat([g[0] for g in got], [len(f) for f in foreign])
+    wants = pa.table({"block": pa.array(asker, pa.int32()), "kind": pa.array(["want"] * len(asker), pa.string()), "bucket": pa.nulls(len(asker), pa.int32()), "who": pa.array(np.concatenate(foreign), pa.int64()), "data": pa.nulls(len(asker), pa.binary())})
+    return pa.concat_tables([replies, wants])
 
 
 def _asks(block: int, b: _Block, keys: np.ndarray, more: np.ndarray, bits: int) -> pa.Table:
@@ -336,13 +346,6 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         np.minimum.at(least, b.key, b.reps[b.owner])
         return _asks(key[0].as_py(), b, b.keys[b.held], least, bits)
 
-    def request(key: tuple[pa.Scalar, ...], t: pa.Table, told: pa.Table) -> pa.Table:
-        """The pivots that the block needs and doesn't have."""
-        b = _Block(t, n)
-        b.prefix(told, bits, num, den)
-        who, asker = np.setdiff1d(b.pivots(told, bits)[1], b.reps), key[0].as_py()
-        return pa.table({"who": pa.array(who, pa.int64()), "part": pa.array([asker // ASKERS] * len(who), pa.int32()), "asker": pa.array([asker] * len(who), pa.int32())})
-
     def serve(key: tuple[pa.Scalar, ...], t: pa.Table, asked: pa.Table) -> pa.Table:
         """The sets of the documents that are asked for, once for each part."""
         t = t.filter(pa.compute.is_in(t.column("doc_id"), asked.column("who").combine_chunks()))
@@ -394,18 +397,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         })
 
     def judged(asked: DataFrame, judge) -> DataFrame:
-        return asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(lean(judge), REPLY).repartition(n_blocks, "block")
+        return asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(lean(judge), REPLY)
 
     def with_replies(told: DataFrame):
         return texts.groupBy("block").cogroup(told.groupBy("block"))
 
-    rarity = judged(texts.groupBy("block").applyInArrow(lean(ask), ASK), _count)
-    leaders = judged(with_replies(rarity).applyInArrow(lean(ask_leaders), ASK), _lead)
-    # All in one plan, so that texts are dealt to blocks once. A pivot that very many blocks ask for is sent by
-    # a task for ASKERS of them; both readers of this exchange read all of it, so that it is made once.
-    asked = with_replies(rarity.unionByName(leaders)).applyInArrow(lean(request), "who long, part int, asker int").repartition(n_blocks, "who", "part")
-    pivots = served(asked.groupBy("who", "part").agg(F.count("asker").alias("askers")).filter("askers > 0"))
-    sent = asked.join(pivots, ["who", "part"]).select(F.col("asker").alias("block"), F.lit("pivot").alias("kind"), F.lit(None).cast("int").alias("bucket"), "who", "data").repartition(n_blocks, "block")
+    # All in one plan, so that texts are dealt to blocks once; what is read twice lies behind an exchange that is reused.
+    rarity = judged(texts.groupBy("block").applyInArrow(lean(ask), ASK), _count).repartition(n_blocks, "block")
+    lead = judged(with_replies(rarity).applyInArrow(lean(ask_leaders), ASK), _lead)
+    leaders = lead.filter("kind = 'leader'").repartition(n_blocks, "block")
+    # A block doesn't ask for the sets it has. A pivot that very many blocks ask for is sent by a task for ASKERS of them.
+    wants = lead.filter("kind = 'want'").select("who", F.col("block").alias("asker")).distinct().filter(F.pmod(hash_of("who"), F.lit(n_blocks)) != F.col("asker")).withColumn("part", F.floor(F.col("asker") / ASKERS).cast("int"))
+    pivots = served(wants.select("who", "part").distinct())
+    sent = wants.join(pivots, ["who", "part"]).select(F.col("asker").alias("block"), F.lit("pivot").alias("kind"), F.lit(None).cast("int").alias("bucket"), "who", "data").repartition(n_blocks, "block")
     dealt = with_replies(rarity.unionByName(leaders).unionByName(sent)).applyInArrow(lean(measure), "kind string, doc_id long, n_shingles long, rep long, pivot long, far double, linked boolean")
     path = scratch(spark, "measured")
     dealt.write.partitionBy("kind").parquet(path)
@@ -414,11 +418,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     member = dealt.filter("kind = 'm'").select("rep", "pivot", "far", "linked")
     near, _ = materialize(connected_components(member.filter("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), "classes")
     # What is left of the regions: what isn't linked to the pivot, and the boundary, by ids alone.
-    low = member.filter("not linked").groupBy("pivot").agg(F.min("far").alias("low"))
-    left = member.join(low, "pivot").filter(~F.col("linked") | (F.col("far") >= F.col("low") - (1 - num / den) - 1e-9)).select("pivot", "rep").distinct()
+    low = member.filter("not linked").groupBy(F.col("pivot").alias("p")).agg(F.min("far").alias("low"))
+    left = _by_pivot(member, low).filter(~F.col("linked") | (F.col("far") >= F.col("low") - (1 - num / den) - 1e-9)).select("pivot", "rep").distinct()
     left = left.join(near, F.col("rep") == F.col("node"), "left").select("pivot", "rep", F.coalesce("component", "rep").alias("main"))
     live = left.groupBy("pivot").agg(F.count("*").alias("members"), F.min("main").alias("least"), F.max("main").alias("most")).filter("least < most").select(F.col("pivot").alias("p"), "members")
-    left, at_left = materialize(left.join(live, F.col("pivot") == F.col("p")).select(F.col("pivot").alias("cluster"), F.col("rep").alias("who"), "main", "members"), "regions")
+    left, at_left = materialize(_by_pivot(left, live).select(F.col("pivot").alias("cluster"), F.col("rep").alias("who"), "main", "members"), "regions")
     trash = [at_left]
     rows = dealt.filter("kind = 'd'").select("doc_id", "n_shingles", "rep").join(near, F.col("rep") == F.col("node"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("class"))
