@@ -83,6 +83,21 @@ for _n, _share in (("filter_sel_1", 100), ("filter_sel_10", 1000), ("filter_sel_
     _filtered(_n, "events", ["event_id", "value"], f"event_id < {_share}", lambda df, _v=_share: compare(df, "event_id", "<", _v))
 
 
+_filtered("filter_int_with_float", "lineitem", _L, "l_linenumber > 2.5 AND l_linenumber <= 6.0", lambda df: all_of(compare(df, "l_linenumber", ">", 2.5), compare(df, "l_linenumber", "<=", 6.0)))
+_filtered("filter_beyond_int64", "orders", ["o_orderkey"], "o_orderkey < 18446744073709551615 AND o_orderkey >= -9223372036854775809", lambda df: all_of(compare(df, "o_orderkey", "<", 18446744073709551615), compare(df, "o_orderkey", ">=", -9223372036854775809)))
+
+
+@_query("filter_nan", """SELECT l_orderkey, l_linenumber, 'above' AS side FROM lineitem WHERE l_linenumber <> 1 AND l_quantity >= 25
+    UNION ALL SELECT l_orderkey, l_linenumber, 'below' FROM lineitem WHERE l_linenumber <> 1 AND l_quantity < 25
+    UNION ALL SELECT l_orderkey, l_linenumber, 'other' FROM lineitem WHERE l_linenumber = 1 OR l_quantity <> 25""")
+def _filter_nan(s, d):
+    """A NaN is neither above nor below a number, but other than it."""
+    df = _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("x"))
+    sides = [("above", ">="), ("below", "<"), ("other", "!=")]
+    above, below, other = (keep(df, compare(df, "x", op, 25)).select("l_orderkey", "l_linenumber", F.lit(n).alias("side")) for n, op in sides)
+    return above.unionByName(below).unionByName(other)
+
+
 @_query("filter_bool", "SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS cheap FROM lineitem WHERE l_discount > 0.05")
 def _filter_bool(s, d):
     df = _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") > 0.05).alias("cheap"))
@@ -266,6 +281,15 @@ def _order_in_part(s, d):
     return s.read.schema(t.definition.spark).parquet(t.data).select(F.col("_metadata.row_index").alias("place"), "r", "name")
 
 
+@_query("insert_parts", "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM region UNION ALL SELECT CAST(count(*) AS BIGINT) FROM nation")
+def _parts(s, d):
+    """The parts of a table, each with its rows."""
+    t = Table.create(s, _folder(s), TableDef("t", (("k", D.I32), ("name", D.STR)), (0,)))
+    for name, prefix in (("region", "r_region"), ("nation", "n_nation")):
+        t.insert_frame(_read(s, d, name).select(F.col(f"{prefix}key").cast("int").alias("k"), F.col(f"{prefix[:2]}name").alias("name")), parts=1)
+    return t.parts().select("n_rows")
+
+
 # Statements.
 def _engine(spark: SparkSession, sf: str, *tables: str) -> Engine:
     engine = Engine(spark)
@@ -312,6 +336,47 @@ def _insert_values(s, d):
     return rows.select(first.cast("int").alias("place"), F.col("ts").cast("int").alias("ts"), F.col("uid").cast("int").alias("uid"), "ok", "tag")
 
 
+def _refused(engine: Engine, texts: dict[str, str]) -> DataFrame:
+    """(case, refused) of some statements: whether they raise before anything runs."""
+    out = []
+    for case, text in texts.items():
+        try:
+            engine.sql(text)
+            out.append((case, False))
+        except ValueError:
+            out.append((case, True))
+    return engine.spark.createDataFrame(out, "case string, refused boolean")
+
+
+_BAD_INSERTS = {
+    "arity": "INSERT INTO t VALUES (1, 'a', 2)", "null": "INSERT INTO t VALUES (NULL, 'a')", "type": "INSERT INTO t VALUES ('x', 'a')", "range": "INSERT INTO t VALUES (300, 'a')",
+    "column": "INSERT INTO t (k, other) VALUES (1, 'a')", "table": "INSERT INTO nowhere VALUES (1, 'a')", "one_bad_row": "INSERT INTO t VALUES (1, 'a'), (-1, 'b')",
+}
+_BAD_SELECTS = {
+    "sum_of_string": "SELECT sum(n_name) FROM nation", "mixed": "SELECT n_name, count(*) FROM nation", "not_grouped": "SELECT n_name, count(*) FROM nation GROUP BY n_regionkey",
+    "column": "SELECT other FROM nation", "table": "SELECT a FROM nowhere", "literal": "SELECT n_name FROM nation WHERE n_nationkey = 'x'", "two": "SELECT n_name FROM nation; SELECT n_name FROM nation", "open_quote": "SELECT 'a FROM nation",
+}
+
+
+def _all_refused(cases: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"case\", true AS refused" for c in cases)
+
+
+@_query("insert_refusals", _all_refused(_BAD_INSERTS) + " UNION ALL SELECT 'rows_left', true")
+def _insert_refusals(s, d):
+    """Bad inserts are refused whole: no row is left of them."""
+    engine = Engine(s)
+    t = Table.create(engine.spark, _folder(s), TableDef("t", (("k", D.U8), ("name", D.STR)), (0,)))
+    engine.attach(t.folder)
+    refused = _refused(engine, _BAD_INSERTS)
+    return refused.unionByName(t.scan().agg(F.lit("rows_left").alias("case"), (F.count("*") == 0).alias("refused")))
+
+
+@_query("sql_refusals", _all_refused(_BAD_SELECTS))
+def _select_refusals(s, d):
+    return _refused(_engine(s, d, "nation"), _BAD_SELECTS)
+
+
 # Clauses beyond the model: plain Spark semantics.
 _query("having", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 100")(lambda s, d: group(_read(s, d, "events"), ["event_type"], [Agg("count", "*", "n")]).filter("n > 100"))
 _query("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda s, d: _read(s, d, "lineitem").select("l_returnflag", "l_linestatus").distinct())

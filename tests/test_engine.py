@@ -279,3 +279,45 @@ def test_read_granules(spark):
     got = read_granules(df, "k", zone_map(df, "k", ["k"]), [1, 9])
     assert sorted(r.v for r in got.collect()) == [*range(512, 1024), *range(4608, 5000)]
     assert read_granules(df, "k", zone_map(df, "k", ["k"]), [99]).count() == 0
+
+
+def test_prompt(spark, tmp_path, monkeypatch, capsys):
+    from larkspur import cli
+
+    _, t = _events(spark, tmp_path, "INSERT INTO events VALUES (1, 10, false, 1.5)")
+    lines = iter(["INSERT INTO events VALUES (2, 20, true, 2)", "", "SELECT ts, uid FROM events ORDER BY ts", "SELECT nothing FROM events", "SELECT 1 +"])
+
+    def read(_):
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
+
+    monkeypatch.setattr("builtins.input", read)
+    cli.main([t.folder])
+    out = capsys.readouterr().out
+    assert "1 rows" in out and "|2  |20 |" in out and out.count("error: ") == 2
+
+
+def test_codec_decoders(spark):
+    df = spark.createDataFrame([(i // 10, i, None if i % 11 == 5 else "ab"[i % 3 == 0]) for i in range(60)], "block int, at int, v string")
+    coded, words = codecs.dictionary_encode(df, "block", "at", "v")
+    back = codecs.dictionary_decode(coded.select("block", "at", "code"), words, "block")
+    assert sorted((r.at, r.value) for r in back.collect()) == [(r.at, r.v) for r in df.orderBy("at").collect()]
+    runs = codecs.run_lengths_decode(codecs.run_lengths(df, "block", "at", "v")).groupBy("block", "value").agg(F.count("*").alias("n"))
+    assert sorted(map(str, runs.collect())) == sorted(map(str, df.groupBy("block", F.col("v").alias("value")).agg(F.count("*").alias("n")).collect()))
+
+
+def test_broken_parts_are_errors(spark, tmp_path):
+    import glob
+
+    _, t = _events(spark, tmp_path, "INSERT INTO events VALUES (1, 10, false, 1.5)")
+    (file,) = glob.glob(f"{tmp_path}/t/data/*.parquet")
+    data = open(file, "rb").read()
+    for bad in (data[:-20], data[: len(data) // 2], b"no table"):
+        with open(file, "wb") as f:
+            f.write(bad)
+        for crc in glob.glob(f"{tmp_path}/t/data/.*.crc"):
+            __import__("os").remove(crc)
+        with pytest.raises(Exception, match="(?i)parquet|footer|corrupt"):
+            t.scan().collect()
