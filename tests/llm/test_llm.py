@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, sharding, substring_dedup, token_files, toxicity, warc_zip
-from larkspur.llm.common import connected_components, table
+from larkspur.llm.common import connected_components, materialize, table
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -422,6 +422,41 @@ def test_toxicity(spark, none):
     assert {r.doc_id: r.score for r in plain.collect()} == {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
 
 
+def _plain_odds(model, text):
+    """The log-odds of a text from its words, one at a time."""
+    from larkspur.llm import hashing as H
+
+    words = list(dict.fromkeys("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode().split()))
+    best = None
+    for lo in range(0, len(words), toxicity.SEGMENT):
+        buckets = []
+        for w in words[lo : lo + toxicity.SEGMENT]:
+            b = np.frombuffer(b" " + w + b" ", np.uint8)
+            buckets += [int(h) >> 47 for h in H.word_hashes(b, np.array([1]), np.array([len(b) - 1]))]
+            for n in toxicity.GRAMS:
+                buckets += [int(h) >> 47 for h in H.mix(H.string_ranks(b, n) + np.uint64(n))]
+        odds = sum(model.value[k] for k in buckets) / max(len(buckets), toxicity.LEAST) + model.bias
+        best = odds if best is None else max(best, odds)
+    return model.bias if best is None else best
+
+
+def test_toxic_scores():
+    r = random.Random(13)
+    words = ["".join(r.choice("aBcdé") for _ in range(r.randint(1, 9))) for _ in range(80)]
+    texts = ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\t "]) for _ in range(r.randint(0, 70))) for _ in range(60)] + ["", " \n", "x", "  lead", "w " * 500]
+    model = toxicity.Model(np.random.default_rng(1).standard_normal(toxicity.BUCKETS), 0.25, 1.5, -0.5)
+    plain = np.array([_plain_odds(model, t) for t in texts])
+    assert np.allclose(model.odds(texts), plain) and np.allclose(model.score(texts), 1 / (1 + np.exp(-(1.5 * plain - 0.5))))
+    segments, owner = toxicity._segments(texts)
+    want = [(" ".join(w), i) for i, t in enumerate(texts) for w in _segments_of(t)]
+    assert [(s.decode().strip(), int(o)) for s, o in zip(segments, owner, strict=True)] == want
+
+
+def _segments_of(text):
+    words = list(dict.fromkeys("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()))
+    return [words[lo : lo + toxicity.SEGMENT] for lo in range(0, len(words), toxicity.SEGMENT)]
+
+
 def test_packing(docs, rows, none):
     r = random.Random(6)
     for _ in range(30):
@@ -590,39 +625,53 @@ def test_foreign_packages():
 
 
 def test_pipeline(spark):
+    """Each stage against a plain version: rows that stay, redacted texts, bins."""
     import corpus_pipeline
 
     docs = table(spark, SF, "documents")
-    at = docs
+    at, texts = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, SF)
+        at, _ = materialize(stage(spark, at, SF), name)
         assert at.columns == docs.columns, name
-    got = corpus_pipeline.run(spark, SF)
-    kept = {r.doc_id for r in got.collect()}
+        texts[name] = {r.doc_id: r for r in at.collect()}
+    got = corpus_pipeline.run(spark, SF).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = toxicity.fit(docs, table(spark, SF, "labels"))
     clean = [(d, t) for (d, t), s in zip(rows, model.score([t or "" for _, t in rows]), strict=True) if s < toxicity.THRESHOLD]
+    assert set(texts["toxicity"]) == {d for d, _ in clean}
     one = brute.one_of_each(clean)
+    assert set(texts["ngram_jaccard_join"]) == {d for d, _ in one}
     items = decontamination.Items([(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
-    want = {d for (d, _), hits in zip(one, items.found([t or "" for _, t in one]), strict=True) if not hits}
-    assert kept == want
-
-
-def test_word_hashes():
-    from larkspur.llm import hashing as H
-
-    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
-    words = [thue, thue.translate(str.maketrans("ab", "ba")), "a", "aa", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "b" * 5000, "b" * 5001]
-    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
-    assert len(set(H.word_hashes(buf, *H.word_spans(buf)).tolist())) == len(words)
-
-
-def test_thue_morse(spark):
-    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
-    rows = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
-    assert {r.doc_id: r.component_id for r in jaccard_join.op3(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
-
-
-def test_keep_one_of_repeats(spark):
-    rows = [(1, "t"), (1, "t"), (2, "t"), (3, "z"), (3, "y"), (3, None), (None, "t"), (None, "t")]
-    same(jaccard_join.keep_one(frame(spark, rows)).select("doc_id", "text").collect(), [(1, "t"), (3, "y"), (None, "t"), (None, "t")])
+    want = {d: t for (d, t), hits in zip(one, items.found([t or "" for _, t in one]), strict=True) if not hits}
+    assert set(texts["benchmark_decontamination"]) == set(want) == {r.doc_id for r in got}
+    more = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.fit(spark, spark.createDataFrame([(d, t) for d, t in want.items()], "doc_id long, text string"))).collect()}
+    changed = 0
+    for d, t in want.items():
+        spans = sorted({(a, z, k) for k, a, z in brute.private(t)} | {(s["start"], s["end"], s["kind"]) for s in more[d] if s["kind"] in pii.MORE})
+        last, out = 0, ""
+        for a, z, k in spans:
+            out += t[last:a] + f"<{k}>" if a >= last else ""
+            last = max(last, z)
+        out += (t or "")[last:]
+        row = texts["pii"][d]
+        assert row.text == (None if t is None else out) and (row.n_chars is None or row.text is None or row.n_chars == len(out))
+        changed += bool(spans)
+    assert changed
+    sources = {r.doc_id: r.source for r in texts["pii"].values()}
+    bins, sizes = defaultdict(list), Counter()
+    for g in got:
+        bins[g.bin_id].append(g)
+        sizes[g.doc_id] += g.piece_bytes
+    assert all(sizes[d] == len((r.text or "").encode()) for d, r in texts["pii"].items())
+    for held in bins.values():
+        assert sum(g.piece_bytes for g in held) <= packing.CAPACITY
+        assert max(Counter(sources[g.doc_id] for g in held if len(held) > 1).values(), default=0) <= packing.PER_SOURCE
+
+
+def test_cleanup(spark):
+    from larkspur.llm.common import cleanup
+
+    df, path = materialize(spark.range(3), "some")
+    assert df.count() == 3 and cleanup(spark) >= 1 and cleanup(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
