@@ -60,17 +60,30 @@ def _groups(*names: np.ndarray) -> np.ndarray:
     return np.append(0, np.flatnonzero(new) + 1)
 
 
+def _ordered(first: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by rank, and where its groups begin; `check` tells equal 64 bits of different strings apart."""
+    order = np.argsort(first)
+    name = first[order]
+    if check is None:
+        return order, _groups(name)
+    more = check[order]
+    if ((name[1:] == name[:-1]) & (more[1:] != more[:-1])).any():
+        order = np.lexsort((check, first))
+        name, more = first[order], check[order]
+    return order, _groups(name, more)
+
+
 class _Ask:
     """Sorted distinct ranks of a round: 64 bits, and for a decision 64 more and the smallest document of each."""
 
     def __init__(self, ids: np.ndarray, first: np.ndarray, check: np.ndarray | None = None):
-        self.order = np.lexsort((ids, first) if check is None else (ids, check, first))
-        name, ids = first[self.order], ids[self.order]
-        self.heads = _groups(name) if check is None else _groups(name, check[self.order])
-        self.group = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(name))))
-        self.keys, self.least = name[self.heads], ids[self.heads]
-        self.check = None if check is None else check[self.order][self.heads]
-        self.several = (np.maximum.reduceat(ids, self.heads) != self.least) if len(ids) else np.zeros(0, bool)
+        self.order, self.heads = _ordered(first, check)
+        ids = ids[self.order]
+        self.group = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(ids))))
+        self.keys = first[self.order[self.heads]]
+        self.check = None if check is None else check[self.order[self.heads]]
+        self.least = np.minimum.reduceat(ids, self.heads) if len(ids) else ids
+        self.several = np.maximum.reduceat(ids, self.heads) != self.least if len(ids) else np.zeros(0, bool)
 
     def rows(self, bits: int) -> Iterator[tuple]:
         for b, lo, hi in X.split(self.keys, bits):
@@ -209,8 +222,7 @@ def _judge_owners(keys: list[np.ndarray], more: list[bytes]) -> np.ndarray:
     name = np.concatenate(keys)
     check = np.concatenate([np.frombuffer(m, U, len(k)) for k, m in zip(keys, more, strict=True)])
     owner = np.concatenate([np.frombuffer(m, np.int64, len(k), 8 * len(k)) for k, m in zip(keys, more, strict=True)])
-    order = np.lexsort((check, name))
-    heads = _groups(name[order], check[order])
+    order, heads = _ordered(name, check)
     least = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
     out = np.zeros(len(name), bool)
     out[order] = least < owner[order]
