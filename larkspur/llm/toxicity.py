@@ -185,10 +185,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     own = np.flatnonzero(~held)
     segments, owner = _segments([texts[i] for i in own])
     label = y[own][owner].astype(int)
-    emb = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
-    weight = rng.normal(0, 0.5, (DIM, 2))
-    bias = np.log(np.array([1 - y[own].mean(), y[own].mean()]))
-    square = np.full(BUCKETS, 1e-8)
+    emb = (rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM).astype(np.float32)
+    weight = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
+    bias = np.log(np.array([1 - y[own].mean(), y[own].mean()])).astype(np.float32)
+    square = np.full(BUCKETS, 1e-8, np.float32)
     good, toxic = np.flatnonzero(label == 0), np.flatnonzero(label == 1)
     for epoch in range(epochs):
         worst = toxic
@@ -206,7 +206,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         for lo in range(0, len(take), BATCH):
             s = take[lo : lo + BATCH]
             ids, n, edge = _features([segments[i] for i in s])
-            hidden = np.add.reduceat(emb[ids], edge, axis=0) / np.maximum(n, LEAST)[:, None]
+            size = np.maximum(n, LEAST).astype(np.float32)[:, None]
+            hidden = np.add.reduceat(emb[ids], edge, axis=0) / size
             z = hidden @ weight + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -214,15 +215,16 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             g = p.copy()
             g[np.arange(len(s)), label[s]] -= 1
             g /= len(s)
-            back = (g @ weight.T) / np.maximum(n, LEAST)[:, None]
-            weight -= 2.0 * hidden.T @ g
-            bias -= 0.5 * g.sum(axis=0)
-            used, inverse = np.unique(ids, return_inverse=True)
-            rows = np.repeat(back, n, axis=0)
-            step = np.stack([np.bincount(inverse, weights=rows[:, d], minlength=len(used)) for d in range(DIM)], axis=1)
+            back = (g @ weight.T) / size
+            weight -= np.float32(2.0) * (hidden.T @ g)
+            bias -= np.float32(0.5) * g.sum(axis=0)
+            order = np.argsort(ids)
+            heads = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+            used = ids[order[heads]]
+            step = np.add.reduceat(back[np.repeat(np.arange(len(s)), n)[order]], heads, axis=0)
             square[used] += (step**2).mean(axis=1)
-            emb[used] -= 0.1 * step / np.sqrt(square[used])[:, None]
-    model = Model(emb @ (weight[:, 1] - weight[:, 0]), float(bias[1] - bias[0]))
+            emb[used] -= np.float32(0.1) * step / np.sqrt(square[used])[:, None]
+    model = Model((emb @ (weight[:, 1] - weight[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
     scale = held if held.any() else ~held
     slope, shift = _calibrated(model.odds([t for t, h in zip(texts, scale, strict=True) if h]), y[scale])
     return Model(model.value, model.bias, slope, shift)
