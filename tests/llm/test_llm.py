@@ -185,6 +185,29 @@ def test_classes(docs, rows, none, n, num, den, local):
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("local", [400, 30])
+def test_sets_of_common_shingles(spark, local):
+    """Texts that are made of common lines only, few of them near each other; a large class; all pairs by one product."""
+    r = random.Random(21)
+    lines = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6))) for _ in range(7)) for _ in range(50)]
+    picks = [r.sample(lines, r.randint(8, 12)) for _ in range(1800)]
+    picks += [[x for x in p if x != p[-1]] + [r.choice(lines)] if i % 2 else p[:-1] + [p[-1] + " more"] for i, p in enumerate(picks[:60])]
+    whole = r.sample(lines, 12)
+    picks += [[*whole[:j], whole[j] + f" v{i}", *whole[j + 1 :]] for i in range(300) for j in [i % 12]]
+    texts = ["\n".join(p) for p in picks]
+    index: dict = {}
+    sets = [{index.setdefault(s, len(index)) for s in brute.shingles(t, 5)} for t in texts]
+    x = np.zeros((len(texts), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, list(s)] = 1
+    both, size = x @ x.T, np.array([len(s) for s in sets])
+    u = brute.Union(range(len(texts)))
+    for i, j in zip(*np.nonzero(100 * both >= 80 * (size[:, None] + size[None, :] - both)), strict=True):
+        u.join(int(i), int(j))
+    got = jaccard_join.jaccard_classes(frame(spark, list(enumerate(texts))), 5, 80, 100, local=local, block_bytes=60_000).collect()
+    assert {g.doc_id: g.component_id for g in got} == {i: u.find(i) for i in range(len(texts))}
+
+
 def test_keep_one(docs, rows):
     got = jaccard_join.keep_one(docs)
     want = brute.one_of_each(rows)
