@@ -113,6 +113,21 @@ def blocked(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str =
     )
 
 
+#: Ids that may be broadcast: some 50 MB in a task's hash table.
+IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, doc_id: str = "doc_id") -> DataFrame:
+    """docs with ("left_semi") or without ("left_anti") the ids of a table of one long column, distinct and not null.
+
+    Up to IDS of them, which are counted first, go to all tasks, and no text is shuffled; more of
+    them meet the documents by a shuffle.
+    """
+    (name,) = ids.columns
+    few = ids.limit(IDS + 1).count() <= IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[doc_id] == F.col(name), how)
+
+
 def release() -> None:
     """Give freed memory back to the system, so that a worker process that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import exchange as X
 from larkspur.llm import hashing as H
-from larkspur.llm.common import block_count, blocked, connected_components, drop, hash_of, lean, materialize, scratch, text_bytes, union_all
+from larkspur.llm.common import block_count, blocked, by_ids, connected_components, drop, hash_of, lean, materialize, scratch, text_bytes, union_all
 
 U = np.uint64
 PIVOTS = 8
@@ -429,7 +429,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     if left.take(1):
         # Only the texts of these documents are dealt again.
         wanted = left.select("who").distinct().withColumn("part", F.lit(0))
-        few = blocked(docs.join(wanted.select(F.col("who").alias("__who")), F.col(doc_id) == F.col("__who"), "left_semi"), n_blocks, doc_id, text).repartition(n_blocks, "block")
+        few = blocked(by_ids(docs, wanted.select(F.col("who").alias("__who")), "left_semi", doc_id), n_blocks, doc_id, text).repartition(n_blocks, "block")
         sets = left.join(served(wanted, few), "who").select("cluster", F.col("who").alias("rep"), F.col("data").alias("shingles"), "main", "members")
         small, links = sets.filter(F.col("members") <= local).drop("members"), []
         if left.filter(F.col("members") > local).take(1):
@@ -455,15 +455,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """
     found = jaccard_classes(docs, doc_id=doc_id, **how)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
-    again = docs.groupBy(F.col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1 and __id is not null").select("__id")
+    kept = by_ids(docs, gone, "left_anti", doc_id)
+    again, _ = materialize(docs.groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1 and __id is not null").select("__id"), "repeated")
     if not again.take(1):
         return kept
     text = how.get("text", "text")
     place = W.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *(F.col(f"`{c}`").cast("string") for c in docs.columns))
     # Only rows whose id is repeated meet by it.
-    repeated = kept.join(again, kept[doc_id] == F.col("__id"), "left_semi").withColumn("__place", F.row_number().over(place)).filter("__place = 1").drop("__place")
-    return kept.join(again, kept[doc_id] == F.col("__id"), "left_anti").unionByName(repeated)
+    repeated = by_ids(kept, again, "left_semi", doc_id).withColumn("__place", F.row_number().over(place)).filter("__place = 1").drop("__place")
+    return by_ids(kept, again, "left_anti", doc_id).unionByName(repeated)
 
 
 def op3(docs: DataFrame) -> DataFrame:
