@@ -18,8 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress, pairwise
-from operator import not_
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +47,17 @@ STEP = 256
 STRETCH = 4096
 
 
+class _Known(dict):
+    """Ids of pieces; a piece that isn't known counts as missing and as nothing for now."""
+
+    def __init__(self) -> None:
+        self.missing: list[str] = []
+
+    def __missing__(self, piece: str) -> bytes:
+        self.missing.append(piece)
+        return b""
+
+
 class Encoder:
     """Ids of texts by a tokenizer file; pieces that come again are looked up."""
 
@@ -66,11 +76,9 @@ class Encoder:
         self.cut.pre_tokenizer = Sequence([CharDelimiterSplit(CUT), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
         whole = [p for p in pieces if CUT not in p]
         parts = [whole[lo : lo + 500] for lo in range(0, len(whole), 500)]
         unit = np.dtype(self.kind).itemsize
@@ -84,23 +92,26 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian numbers of this encoder's kind."""
         for lo in range(0, len(texts), STEP):
-            part = texts[lo : lo + STEP]
-            plain = [self.by_piece and not BEYOND.search(t) and not any(s in t for s in self.special) for t in part]
-            pieces = [PIECES.findall(t) if p else None for t, p in zip(part, plain, strict=True)]
-            found = [list(map(self.known.get, x)) if x is not None else None for x in pieces]
-            new: set[str] = set()
-            for x, f in zip(pieces, found, strict=True):
-                if f:
-                    new.update(compress(x, map(not_, f)))
-            if new:
-                self._learn(new)
-            for t, x, f in zip(part, pieces, found, strict=True):
-                if x is None:
-                    yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-                elif None in f:
-                    yield b"".join([k or self.known[p] for p, k in zip(x, f, strict=True)])
-                else:
-                    yield b"".join(f)
+            if len(self.known) > CACHE:
+                self.known.clear()
+            yield from self._step(texts[lo : lo + STEP])
+
+    def _step(self, texts: list[str]) -> list[bytes]:
+        get, missing, out, again = self.known.__getitem__, self.known.missing, [], []
+        for i, t in enumerate(texts):
+            if not self.by_piece or BEYOND.search(t) or any(s in t for s in self.special):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=self.kind).tobytes())
+                continue
+            pieces, n = PIECES.findall(t), len(missing)
+            out.append(b"".join(map(get, pieces)))
+            if len(missing) > n:
+                again.append((i, pieces))
+        if again:
+            self._learn(set(missing))
+            missing.clear()
+            for i, pieces in again:
+                out[i] = b"".join(map(get, pieces))
+        return out
 
 
 @lru_cache(maxsize=2)
