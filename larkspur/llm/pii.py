@@ -6,10 +6,11 @@ passwords), `number` (account and identity numbers) and `contact` (spelled-out a
 trees score each of them; of neighbours that overlap the one with the higher score stays, and those
 over their kind's threshold are redacted too. Scoring is a column expression.
 
-No labels of personal data exist. The trees are fitted on candidates of POOL of the documents, SPANS
-of each at most, with labels from the words before them (`WEAK`), which their features then don't
-show, and on texts made by `training_texts`, SAMPLE of them, whose features do. Thresholds reach
-PRECISION on a held-out third of both.
+No labels of personal data exist. The trees are fitted on all candidates of all documents, with
+labels from the words before them (`WEAK`), which their features then don't show, and on texts made
+by `training_texts`, MADE of them, whose features do. Thresholds reach PRECISION on a held-out third
+of both. Spark counts the candidates by cell, that is by the steps (`EDGES`) their features fall in;
+the trees split at these steps only, so the driver needs a number a cell, however many documents.
 
 Positions are code points. They come from the text between the matches: the lengths of the pieces
 that split() leaves and of the matches themselves, summed. Running sums, overlaps and pieces of a
@@ -47,8 +48,7 @@ HINTS = {"h_secret": "(?i)(password|passwd|pwd|secret|token|key|auth)", "h_numbe
 PIECE = 512
 #: What marks a candidate of a document as personal for the training.
 WEAK = {"secret": "(?i)(password|passwd|pwd|secret|token|key|auth)[\"' ]*[=:] ?[\"']?$", "number": HINTS["h_number"], "contact": "$"}
-POOL, SPANS = 5000, 20
-SAMPLE = 3000
+MADE = 3000
 PRECISION = 0.98
 ROUNDS = 40
 RATE = 0.3
@@ -170,6 +170,19 @@ def features(pieces: Column, span: Column) -> dict[str, Column]:
 
 
 FEATURES = ["secret", "number", "length", "digits", "upper", "lower", "marks", "hex", "turns", *HINTS]
+_YES, _SHARE = [0.0, 1.0], [i / 8 for i in range(9)]
+#: Values at which trees may split a feature: a value counts as the least of these that is not below it, or as the last.
+EDGES = {k: np.array(_YES, dtype=np.float64) for k in FEATURES} | {
+    "length": np.array([*range(6, 33), 36, 40, 44, 48, 56, 64, 80, 96, 128, 256], dtype=np.float64),
+    "digits": np.array([*range(21), 24, 28, 32, 40, 48, 64, 128], dtype=np.float64),
+    "upper": np.array(_SHARE),
+    "lower": np.array(_SHARE),
+    "marks": np.array(_SHARE),
+    "turns": np.array([*range(1, 13), 16, 20, 24, 32, 64], dtype=np.float64),
+}
+#: What makes a cell of a document's candidate: whether it is held out and labelled, and its step of each feature that is no hint.
+CELL = ["held", "weak", *(k for k in FEATURES if k not in HINTS)]
+SHAPE = [len(EDGES.get(k, _YES)) for k in CELL]
 
 
 @dataclass(frozen=True)
@@ -184,19 +197,20 @@ def _leaf(g: np.ndarray, h: np.ndarray) -> float:
     return float(RATE * g.sum() / (h.sum() + 1.0))
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> Split | float:
+def _grow(codes: np.ndarray, values: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int) -> Split | float:
     best, cut = 1e-6, None
-    gain = lambda a, b: a.sum() ** 2 / (b.sum() + 1.0)
-    for j in range(x.shape[1]):
-        values = np.unique(x[:, j])
-        for bound in np.unique(np.quantile(values, np.linspace(0, 1, 17)[1:-1])) if len(values) > 1 else ():
-            low = x[:, j] <= bound
-            if 0 < low.sum() < len(low) and (won := gain(g[low], h[low]) + gain(g[~low], h[~low]) - gain(g, h)) > best:
-                best, cut = won, (j, float(bound), low)
-    if not depth or cut is None:
+    gain = lambda a, b: a**2 / (b + 1.0)
+    for j, bounds in enumerate(values if depth else ()):
+        n, a, b = (np.bincount(codes[:, j], w, len(bounds)).cumsum() for w in (None, g, h))
+        won = np.where((n > 0) & (n < n[-1]), gain(a, b) + gain(a[-1] - a, b[-1] - b) - gain(a[-1], b[-1]), 0.0)
+        k = int(won.argmax())
+        if won[k] > best:
+            best, cut = won[k], (j, k)
+    if cut is None:
         return _leaf(g, h)
-    j, bound, low = cut
-    return Split(j, bound, _grow(x[low], g[low], h[low], depth - 1), _grow(x[~low], g[~low], h[~low], depth - 1))
+    j, k = cut
+    low = codes[:, j] <= k
+    return Split(j, float(values[j][k]), _grow(codes[low], values, g[low], h[low], depth - 1), _grow(codes[~low], values, g[~low], h[~low], depth - 1))
 
 
 def _apply(tree: Split | float, x: np.ndarray) -> np.ndarray:
@@ -205,11 +219,15 @@ def _apply(tree: Split | float, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree.feature] <= tree.bound, _apply(tree.below, x), _apply(tree.above, x))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = 3) -> list[Split | float]:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = ROUNDS, depth: int = 3) -> list[Split | float]:
+    """Trees on rows of x that count `weight` times each."""
+    weight = np.ones(len(y)) if weight is None else weight
+    values, codes = zip(*(np.unique(c, return_inverse=True) for c in x.T), strict=True)
+    codes = np.stack(codes, axis=1)
     score, trees = np.zeros(len(y)), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(x, y - p, p * (1 - p), depth))
+        trees.append(_grow(codes, values, weight * (y - p), weight * p * (1 - p), depth))
         score += _apply(trees[-1], x)
     return trees
 
@@ -220,7 +238,7 @@ def _column(tree: Split | float, f: list[Column]) -> Column:
     return F.when(f[tree.feature] <= tree.bound, _column(tree.below, f)).otherwise(_column(tree.above, f))
 
 
-def training_texts(n: int = SAMPLE, seed: int = 7) -> list[tuple[int, str, int, int, int]]:
+def training_texts(n: int = MADE, seed: int = 7) -> list[tuple[int, str, int, int, int]]:
     """(id, text, label, start, end): made-up values in made-up prose; label 1 marks personal data and secrets."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -272,40 +290,66 @@ class Model:
 _fitted: dict[tuple, Model] = {}
 
 
-def _spans(rows: DataFrame, most: int) -> DataFrame:
-    """(doc_id, kind, start, end, weak, the features) of the candidates apart from base spans, `most` of a text."""
-    found = candidates(rows).select("doc_id", _pieces(F.col("text")).alias("pieces"), F.slice(_apart(F.col("more"), F.col("base")), 1, most).alias("more"))
-    found = found.select("doc_id", "pieces", F.explode("more").alias("s"))
-    before = _cut(F.col("pieces"), F.greatest(F.col("s.start") - 24, F.lit(0)), F.col("s.start"))
-    weak = F.coalesce(*(F.when(F.col("s.kind") == k, before.rlike(p)) for k, p in WEAK.items()))
-    return found.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), weak.alias("weak"), *(c.alias(k) for k, c in features(F.col("pieces"), F.col("s")).items()))
+def _spans(rows: DataFrame) -> DataFrame:
+    """(doc_id, kind, start, end, weak, the features) of the candidates apart from base spans."""
+    found = candidates(rows).select("doc_id", "text", _apart(F.col("more"), F.col("base")).alias("more"))
+
+    def described(pieces: Column, s: Column) -> Column:
+        before = _cut(pieces, F.greatest(s["start"] - 24, F.lit(0)), s["start"])
+        weak = F.coalesce(*(F.when(s["kind"] == k, before.rlike(p)) for k, p in WEAK.items()))
+        return F.struct(*(s[k].alias(k) for k in ("kind", "start", "end")), weak.alias("weak"), *(c.alias(k) for k, c in features(pieces, s).items()))
+
+    every = _let(_pieces(F.col("text")), lambda pieces: F.transform("more", lambda s: described(pieces, s)))
+    return found.select("doc_id", F.explode(F.when(F.size("more") > 0, every)).alias("s")).select("doc_id", "s.*")
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Each feature as the least of its edges that is not below it, or the last of them."""
+    return np.stack([e[np.minimum(np.searchsorted(e, c), len(e) - 1)] for e, c in zip(EDGES.values(), x.T, strict=True)], axis=1)
+
+
+def _step(value: Column, edges: np.ndarray) -> Column:
+    """The place among edges that `_steps` gives a value."""
+    return _let(value, lambda v: F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[:-1])), lambda e: e < v)))
+
+
+def tally(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(cell, count) of all candidates in all of docs; a cell is the flat index into SHAPE. Equal texts (by 64-bit hash) count once.
+
+    Null texts have no candidates; an empty table gives an empty one.
+    """
+    spans = _spans(docs.select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")))
+    cell = (F.pmod("doc_id", F.lit(3)) == 2).cast("long") * 2 + F.col("weak").cast("long")
+    for k in CELL[2:]:
+        cell = cell * len(EDGES[k]) + _step(F.col(k), EDGES[k])
+    return spans.select("doc_id", "start", cell.alias("cell")).distinct().groupBy("cell").count()
 
 
-def fit(spark: SparkSession, docs: DataFrame | None = None, sample: int = SAMPLE, pool: int = POOL, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(spark: SparkSession, docs: DataFrame | None = None, made: int = MADE, seed: int = 7, text: str = "text") -> Model:
     """The trees, and for each further kind the least threshold with PRECISION on the third held out.
 
-    The documents are at most `pool` of a sample by a hash of id and text, those with three digits in
-    a row; equal texts count once. Null texts, and no documents at all, leave the made-up texts.
+    Every candidate of the documents counts, those of equal texts once. The made-up candidates count
+    once each too, or where the documents have more of them, as much as these in all. Null texts, and
+    no documents at all, leave the made-up texts.
     """
-    made = training_texts(sample, seed)
-    if docs is None and (sample, seed) in _fitted:
-        return _fitted[sample, seed]
-    got = _spans(spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string"), SPANS).collect()
+    if docs is None and (made, seed) in _fitted:
+        return _fitted[made, seed]
+    texts = training_texts(made, seed)
+    got = _spans(spark.createDataFrame([(i, t) for i, t, *_ in texts], "doc_id long, text string")).collect()
     got.sort(key=lambda g: (g.doc_id, g.kind, g.start))
-    x = np.array([[g[k] for k in FEATURES] for g in got], dtype=np.float64)
-    y = np.array([float(made[g.doc_id][2] and g.start < made[g.doc_id][4] and made[g.doc_id][3] < g.end) for g in got])
+    x = _steps(np.array([[g[k] for k in FEATURES] for g in got], dtype=np.float64))
+    y = np.array([float(texts[g.doc_id][2] and g.start < texts[g.doc_id][4] and texts[g.doc_id][3] < g.end) for g in got])
     third = np.array([g.doc_id % 6 >= 4 for g in got])
-    kinds = np.array([g.kind for g in got])
-    if docs is not None:
-        share = F.pmod(F.xxhash64(doc_id, text), F.lit(max(1, docs.count() // (4 * pool)))) == 0
-        some = docs.filter(share).select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9]{3}")).dropDuplicates(["doc_id"])
-        some = some.orderBy("doc_id", "text").limit(pool).repartition(32, "doc_id")
-        more = sorted(_spans(some, SPANS).collect(), key=lambda g: (g.doc_id, g.kind, g.start))
-        if more:
-            own = np.array([[0.0 if k in HINTS else g[k] for k in FEATURES] for g in more], dtype=np.float64)
-            x, y = np.concatenate([x, own]), np.append(y, [float(g.weak) for g in more])
-            third, kinds = np.append(third, [g.doc_id % 3 == 2 for g in more]), np.append(kinds, [g.kind for g in more])
-    trees = boost(x[~third], y[~third])
+    weight = np.ones(len(got))
+    if docs is not None and (cells := tally(docs, text).toArrow()).num_rows:
+        cell, n = (cells[c].to_numpy() for c in cells.column_names)
+        order = cell.argsort()
+        own = dict(zip(CELL, np.unravel_index(cell[order], SHAPE), strict=True))
+        x = np.concatenate([x, np.stack([EDGES[k][own[k]] if k in own else np.zeros(len(cell)) for k in FEATURES], axis=1)])
+        y, third = np.append(y, own["weak"]), np.append(third, own["held"] == 1)
+        weight = np.append(weight * max(1.0, n.sum() / len(got)), n[order])
+    kinds = np.where(x[:, 0] == 1, "secret", np.where(x[:, 1] == 1, "number", "contact"))
+    trees = boost(x[~third], y[~third], weight[~third])
     p = 1 / (1 + np.exp(-sum(_apply(t, x) for t in trees)))
     bounds = {}
     for kind in MORE:
@@ -313,11 +357,11 @@ def fit(spark: SparkSession, docs: DataFrame | None = None, sample: int = SAMPLE
         bounds[kind] = 1.0
         for bound in sorted({0.5, *np.round(p[own & (p >= 0.5)], 3)}, reverse=True):
             hit = own & (p >= bound)
-            if hit.any() and y[hit].mean() >= PRECISION:
+            if hit.any() and np.average(y[hit], weights=weight[hit]) >= PRECISION:
                 bounds[kind] = float(bound)
     model = Model(trees, bounds)
     if docs is None:
-        _fitted[sample, seed] = model
+        _fitted[made, seed] = model
     return model
 
 
@@ -342,7 +386,7 @@ def find_pii(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id"
     A null text is empty and has no spans; a null id is kept. Repeated rows are each returned; an
     empty table gives an empty one. Other columns are ignored, whatever their names.
     """
-    model = model or fit(docs.sparkSession, docs, doc_id=doc_id, text=text)
+    model = model or fit(docs.sparkSession, docs, text=text)
     rows = candidates(docs, doc_id, text)
     bound = F.create_map(*(F.lit(x) for kv in model.thresholds.items() for x in kv))
     rows = rows.select("doc_id", "text", "row", "base", _apart(F.col("more"), F.col("base")).alias("more"))

@@ -376,6 +376,35 @@ def test_training_on_documents(spark):
     assert sum(found[i] == ["secret"] for i in range(1, 200, 2)) >= 95 and sum(found[i] == [] for i in range(0, 200, 2)) >= 95
 
 
+def test_training_on_all_candidates(spark):
+    """What only the 21st and later candidates of texts show is learnt, and so is what has no three digits in a row."""
+    r = random.Random(8)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    key = lambda: "zz" + "-".join(pick("0123456789", 2) for _ in range(3)) + "_" + pick("abcdef", 10) + "_zz"
+    other = lambda: pick("ghijkl", 14) + "/" + pick("0123456789", 2)
+    model = pii.fit(spark, frame(spark, [(i, " ".join(f"so {other()}" for _ in range(20)) + f" token = {key()}") for i in range(700)]))
+    test = [(i, f"so {key() if i % 2 else other()} so") for i in range(200)]
+    found = {x.doc_id: [s["kind"] for s in x.spans] for x in pii.find_pii(frame(spark, test), model).collect()}
+    assert sum(found[i] == ["secret"] for i in range(1, 200, 2)) >= 95 and sum(found[i] == [] for i in range(0, 200, 2)) >= 95
+
+
+def test_tally(spark, none):
+    """All candidates of all texts are counted, those of equal texts once, in cells that the trees can't tell from the values."""
+    rows = [(i, f"token = ab{i:08d}cd so 1-2-3-4-5-{i % 7}-{i % 3}" + " /x1y2z3_abc" * (i % 30)) for i in range(30_000)]
+    got = pii.tally(frame(spark, [*rows, *rows[:500], (None, rows[0][1]), (1, None), (2, "")])).collect()
+    assert sum(g["count"] for g in got) == sum(3 + i % 30 for i, _ in rows) and len(got) == len({g.cell for g in got}) < 40
+    weak = np.unravel_index([g.cell for g in got], pii.SHAPE)[pii.CELL.index("weak")]
+    assert sum(g["count"] for g, w in zip(got, weak, strict=True) if w) == 30_000
+    assert pii.tally(none).count() == 0
+    x = np.random.default_rng(3).choice([0, 0.1, 0.125, 0.99, 1, 7, 33, 64.5, 1000], (500, len(pii.FEATURES)))
+    y = (x[:, 2] > 30).astype(float)
+    stepped = pii._steps(x)
+    trees = pii.boost(stepped, y, np.full(500, 2.0), rounds=5)
+    assert all((pii._apply(t, x) == pii._apply(t, stepped)).all() for t in trees)
+    doubled = pii.boost(np.concatenate([stepped, stepped]), np.append(y, y), rounds=5)
+    assert np.allclose(sum(pii._apply(t, x) for t in trees), sum(pii._apply(t, x) for t in doubled))
+
+
 def test_leaks(spark, docs, none, monkeypatch):
     r = random.Random(4)
     say = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
